@@ -325,3 +325,15 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
             yield pa.array(out, pa.string())
 
     return df.withColumn(text_col, text(F.col(ids_col)))
+
+
+def op1(spark, sf_dir):
+    import public_tokenizers
+
+    from .common import table
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = decode(encode(docs, path), path)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
