@@ -48,7 +48,7 @@ def targets(sizes: list[tuple[str | None, int]], share: float = 1.5, most: float
 
 def _pivot(pdf: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
     """Settle a chunk; at most one row stays open (taken = -1) unless this is the last level."""
-    pdf = pdf.sort_values(["size", "id"], kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["size", "id"], ascending=[False, True], kind="stable", ignore_index=True)
     seed = xxhash.xxh64_intdigest(f"{pdf['src'][0]}|{pdf['chunk'][0]}|{level}")
     draws = np.random.default_rng(seed).random(len(pdf) + 1)
     p = pdf["p"].tolist()

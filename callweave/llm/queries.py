@@ -5,12 +5,24 @@ from __future__ import annotations
 from .langid import op8
 from .minhash import op2
 from .mixing import op10
-from .secrets import op4
+from .quality_crf import op7
+from .secret_scan import op4
 from .sentencepiece_bpe import op1
+from .warc import op9
+from .webp import op6
 
 
 def queries():
-    return {"op1_sentencepiece": op1, "op2_minhash": op2, "op4_secrets": op4, "op8_language": op8, "op10_mixing": op10}
+    return {
+        "op1_sentencepiece": op1,
+        "op2_minhash": op2,
+        "op4_secrets": op4,
+        "op6_webp": op6,
+        "op7_quality": op7,
+        "op8_language": op8,
+        "op9_warc": op9,
+        "op10_mixing": op10,
+    }
 
 
 def oracle_sql():
