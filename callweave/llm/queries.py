@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .ann import op3
 from .langid import op8
 from .minhash import op2
 from .mixing import op10
+from .pii import op5
 from .quality_crf import op7
 from .secret_scan import op4
 from .sentencepiece_bpe import op1
@@ -16,7 +18,9 @@ def queries():
     return {
         "op1_sentencepiece": op1,
         "op2_minhash": op2,
+        "op3_neighbours": op3,
         "op4_secrets": op4,
+        "op5_surrogates": op5,
         "op6_webp": op6,
         "op7_quality": op7,
         "op8_language": op8,
