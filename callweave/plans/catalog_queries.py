@@ -123,7 +123,7 @@ links AS (SELECT a.sample_id, a.seq_id AS a, b.seq_id AS b FROM idx a JOIN idx b
 shared AS (SELECT a.sample_id, a.seq_id AS a, b.seq_id AS b, sum(a.w) AS s, max(greatest(a.total, b.total)) AS m FROM idx a JOIN idx b ON a.sample_id = b.sample_id AND a.api_id = b.api_id AND a.seq_id < b.seq_id GROUP BY ALL),
 linked AS (SELECT sample_id, a, b FROM shared WHERE 10 * s >= 3 * m),
 reach AS (SELECT sample_id, a, b FROM (SELECT sample_id, a, b FROM linked UNION SELECT sample_id, b, a FROM linked) UNION SELECT r.sample_id, r.a, l.b FROM reach r JOIN (SELECT sample_id, a, b FROM linked UNION SELECT sample_id, b, a FROM linked) l ON r.sample_id = l.sample_id AND r.b = l.a),
-comps AS (SELECT sample_id, a AS seq_id, least(a, min(b)) AS comp_id FROM reach GROUP BY ALL),
+comps AS (SELECT sample_id, a AS seq_id, min(least(a, b)) AS comp_id FROM reach GROUP BY sample_id, a),
 merged AS (SELECT sample_id, comp_id, CAST(sum(coalesce(w, 0)) AS BIGINT) AS value FROM (SELECT DISTINCT i.sample_id, coalesce(comp_id, i.seq_id) AS comp_id, api_id FROM items i LEFT JOIN comps c ON i.sample_id = c.sample_id AND i.seq_id = c.seq_id) LEFT JOIN w USING (api_id) GROUP BY ALL),
 centers AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS cluster, unnest([0.0, 5e6, 2e7, 5e7, 1e8, 2e8, 4e8]) AS center),
 assigned AS (SELECT sample_id, CAST(value AS DOUBLE) AS value, len(list_filter([2500000.0, 12500000.0, 35000000.0, 75000000.0, 150000000.0, 300000000.0], lambda m: m < value)) AS cluster FROM merged),
