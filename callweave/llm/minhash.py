@@ -3,7 +3,7 @@
 Each text becomes its set of distinct word shingles. One hash per shingle feeds a
 one-permutation sketch whose empty bins are filled by optimal densification; bands
 of the sketch are the buckets. Inside a bucket only stars are compared: the
-smallest member against the others. Members that their star leaves in another
+head against the others. Members that their star leaves in another
 class open new stars, twice as many each round, until a bucket holds one class or
 every pair in it was looked at, so that no bucket is capped. Every link is confirmed
 on the full sets. Equal sets are folded into one representative beforehand.
@@ -137,26 +137,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = sets.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
     owner = cut(sets.select("id", "n", "fp").join(reps, "fp", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     first = owner.where("id = rep and n > 0").select("id").distinct()
-    uniq = sets.join(first, "id", "left_semi").dropDuplicates(["id", "fp"])
-    rows = uniq.select("id", "n", F.explode("bands").alias("band"))
-    stars = rows.groupBy("band").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("k")).where("k > 1")
-    members = cut(rows.join(stars.select("band"), "band", "left_semi"))
+    reps = sets.join(first, "id", "left_semi")
+    rows = reps.select("id", "n", F.explode("bands").alias("band"))
+    stars = rows.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    shared = cut(rows.join(stars, "band"))
+    # Heads are those whose buckets hold most: in a family of edited copies that is the common original.
+    rank = shared.groupBy("id").agg((-F.sum("k")).alias("busy"))
+    members = cut(shared.join(rank, "id").select("band", F.struct("busy", "id").alias("o"), "id", "n"))
+    uniq = cut(reps.join(rank, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles")))
     close = f"100 * least(n, hn) >= {percent} * greatest(n, hn)"
-    opened, label, links, hubs = members, None, None, 1
+    opened, label, links, hubs = members.withColumn("comp", F.col("id")), None, None, 1
     while True:
-        if hubs == 1:
-            heads = opened.groupBy("band").agg(F.min(F.struct("id", "n")).alias("h")).select("band", F.col("h.id").alias("a"), F.col("h.n").alias("hn"))
-        else:
-            by = Window.partitionBy("band").orderBy("id")
-            heads = opened.withColumn("r", F.row_number().over(by)).where(F.col("r") <= hubs).select("band", F.col("id").alias("a"), F.col("n").alias("hn"), F.col("comp").alias("hc"))
-        pairs = opened.join(heads, "band").where("id > a").where(close)
-        if label is not None:
-            pairs = pairs.where("comp <> hc")
+        by = Window.partitionBy("band").orderBy("o")
+        heads = opened.withColumn("r", F.row_number().over(by)).where(F.col("r") <= hubs)
+        heads = cut(heads.select("band", F.col("id").alias("a"), F.col("n").alias("hn"), F.col("comp").alias("hc"), F.col("o").alias("ho")))
+        pairs = opened.join(heads, "band").where("o > ho and comp <> hc").where(close)
         new = cut(_confirm(pairs.select("a", F.col("id").alias("b")).distinct(), uniq, percent))
         links = new if links is None else links.union(new)
         label = components(links)
         rest = opened.drop("comp").join(heads.select("band", F.col("a").alias("id")), ["band", "id"], "left_anti")
-        rest = rest.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        rest = cut(rest.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
         mixed = rest.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
         opened = cut(rest.join(mixed, "band", "left_semi"))
         if opened.isEmpty():
