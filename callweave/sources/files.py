@@ -33,8 +33,13 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sequences(spark: SparkSession, path: str, size: int) -> DataFrame:
     """(sample_id, label, seq_id, api_ids); the first path of a sample wins; samples without lines keep one null row."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)  # empty files count too
-    raw = raw.select("path", F.decode("content", "UTF-8").alias("value"), sample_stem(F.col("path")).alias("sample_id"), label_nearest(F.col("path")).alias("label"))
+    raw = _files(spark, path, "*.txt")
+    # The scan leaves out empty files; the driver's file index, which it holds anyway, names them.
+    named = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string")
+    named = named.select("path", sample_stem(F.col("path")).alias("sample_id"), label_nearest(F.col("path")).alias("label"))
+    plain = F.regexp_replace("path", "^([a-z0-9]+:)/+", "$1/").alias("path")  # file:/x and file:///x are one
+    named = named.select(plain, "sample_id", "label")
+    raw = named.join(raw.select(plain, "value"), "path", "left").withColumn("value", F.coalesce("value", F.lit("")))
     one = raw.groupBy("sample_id").agg(F.min(F.struct("path", "label", "value")).alias("f")).select("sample_id", "f.label", "f.value")
     lines = one.select("sample_id", "label", F.posexplode(F.split("value", "\n")).alias("seq_id", "line"))
     ids = F.transform(F.filter(F.split(F.trim("line"), r"\s+"), lambda t: t.rlike("^[0-9]{1,9}$")), lambda t: t.cast("int"))
