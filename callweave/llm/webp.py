@@ -57,6 +57,9 @@ class Bits:
             raise ValueError("stream ends early")
         return v
 
+    def span(self, a: int, n: int) -> int:
+        return int.from_bytes(self.data[a >> 3 : (a + n + 7) >> 3], "little") >> (a & 7) & ((1 << n) - 1)
+
 
 class Code:
     """Prefix code as a table over the longest code's bits."""
@@ -126,6 +129,17 @@ def _extra(bits: Bits, s: int) -> int:
     return ((2 + (s & 1)) << n) + bits.take(n) + 1
 
 
+#: Length, bits and codes of the last set of five codes: streams with the very same bits have the same codes.
+_LAST: list = []
+
+
+def _known_codes(bits: Bits) -> list | None:
+    if not _LAST or bits.at + _LAST[0] > 8 * len(bits.data) or bits.span(bits.at, _LAST[0]) != _LAST[1]:
+        return None
+    bits.at += _LAST[0]
+    return _LAST[2]
+
+
 def _pixels(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
     """ARGB values of one coded image."""
     cache_bits = bits.take(4) if bits.take(1) else 0
@@ -138,7 +152,12 @@ def _pixels(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
         which = (_pixels(bits, gw, -(-h >> shift), False) >> 8 & 0xFFFF).tolist()
         groups = max(which) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    codes = [[_read_code(bits, n + (cache_size if i == 0 else 0)) for i, n in enumerate(ALPHABETS)] for _ in range(groups)]
+    codes = _known_codes(bits) if groups == 1 and not cache_size else None
+    if codes is None:
+        start = bits.at
+        codes = [[_read_code(bits, n + (cache_size if i == 0 else 0)) for i, n in enumerate(ALPHABETS)] for _ in range(groups)]
+        if groups == 1 and not cache_size:
+            _LAST[:] = [bits.at - start, bits.span(start, bits.at - start), codes]
     n = w * h
     if groups == 1 and not cache_size and all(c.flat for c in codes[0][:4]):
         a, end = bits.at, bits.at + 32 * n
