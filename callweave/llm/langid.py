@@ -31,15 +31,29 @@ def _letter(code: int) -> np.ndarray:
     return (np.random.default_rng(code).integers(0, 2, DIM, dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
-class _Grams(dict):
-    def __missing__(self, gram: str) -> np.ndarray:
-        if len(self) >= 60_000:
-            self.clear()
-        v = np.ones(DIM, np.int8)
-        for i, ch in enumerate(gram):
-            v = v * np.roll(_letter(ord(ch)), len(gram) - 1 - i)
-        self[gram] = v
-        return v
+class _Grams:
+    """Rows of bound vectors for n-grams, each made once; started anew when full."""
+
+    def __init__(self, most: int = 60_000):
+        self.most, self.place, self.rows = most, {}, np.zeros((1024, DIM), np.int8)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """One row for each row of letter codes."""
+        if len(self.place) + len(codes) > self.most:
+            self.place.clear()
+        out = np.empty(len(codes), np.int64)
+        for j, gram in enumerate(map(tuple, codes.tolist())):
+            at = self.place.get(gram)
+            if at is None:
+                at = self.place[gram] = len(self.place)
+                if at == len(self.rows):
+                    self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+                v = np.ones(DIM, np.int8)
+                for i, code in enumerate(gram):
+                    v = v * np.roll(_letter(code), GRAM - 1 - i)
+                self.rows[at] = v
+            out[j] = at
+        return self.rows[out]
 
 
 _GRAMS = _Grams()
@@ -50,15 +64,16 @@ def profile(text: str | None) -> np.ndarray | None:
     flat = _GAP.sub(" ", text or "").strip().lower()
     if not flat:
         return None
-    flat = f" {flat} "
-    counts: dict[str, int] = {}
-    for a in map("".join, zip(flat, flat[1:], flat[2:], strict=False)):
-        counts[a] = counts.get(a, 0) + 1
+    codes = np.frombuffer(f" {flat} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    key = codes[: len(codes) - GRAM + 1]
+    for i in range(1, GRAM):
+        key = key << 21 | codes[i : len(codes) - GRAM + 1 + i]
+    key, counts = np.unique(key, return_counts=True)
+    counts = counts.astype(np.float32)
+    grams = np.stack([key >> 21 * (GRAM - 1 - i) & 0x1FFFFF for i in range(GRAM)], 1)
     out = np.zeros(DIM, np.float32)
-    grams = list(counts)
     for lo in range(0, len(grams), 2048):
-        part = grams[lo : lo + 2048]
-        out += np.array([counts[g] for g in part], np.float32) @ np.array([_GRAMS[g] for g in part], np.float32)
+        out += counts[lo : lo + 2048] @ _GRAMS.find(grams[lo : lo + 2048]).astype(np.float32)
     norm = float(np.linalg.norm(out))
     return out / norm if norm else None
 
