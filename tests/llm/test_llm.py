@@ -28,6 +28,28 @@ def test_minhash(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_families(spark):
+    """Families whose members link only in part, against every pair."""
+    rng, rows = random.Random(5), []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range((40, 90, 160)[family])]
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.randrange(7)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice((0, 1, 3))] = rng.choice(([], [f"e{rng.randrange(9)}"], [f"u{rng.random()}"]))
+            rows.append((len(rows), " ".join(words[: rng.choice((len(words), len(words) * 9 // 10))])))
+    grams = [{tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} for w in (t.split() for _, t in rows)]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if comp[i] != comp[j] and 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j]):
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    got = {r["id"]: r["comp"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert got == dict(enumerate(comp)) and 10 < len(set(comp)) < 170
+
+
 def test_secrets(spark, docs, empty):
     text = 'é token = "aB3xY9qLm2Zk7Rt5" then deadbeefdeadbeef end'
     row = secret_scan.find(spark.createDataFrame([(text,)], "text string")).first()
