@@ -1,10 +1,11 @@
 """Nearest neighbours: a forest of random-projection trees and exact reranking.
 
 Trees are built on a bounded sample (``SAMPLE`` vectors by hash); every row is then
-routed to one leaf of each tree. A query walks all trees through one queue, nearest
-margin first, until its leaves hold ``SEARCH`` sample vectors (or are all there are).
-All rows of those leaves are candidates and are ranked by their exact distance. Queries
-come in blocks of bounded size, so what is sent to the executors is bounded.
+routed to one leaf of each tree. A query takes the leaves of all trees by nearest
+margin, until they hold ``SHARE`` of the sample and ``SEARCH`` of its vectors at least
+(or are all there are). All rows of those leaves are candidates and are ranked by their
+exact distance. Queries come in blocks of bounded size, so what is sent to the executors
+is bounded.
 
 Defined results: vectors that are null, zero, of another length than most of the sample,
 or hold null or non-finite components take no part; ties go to the smaller id; with fewer
@@ -13,7 +14,6 @@ candidates than asked for, all of them return; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TREES, LEAF, SAMPLE, SEARCH, BLOCK = 16, 32, 20_000, 3_000, 4_000
+TREES, LEAF, SAMPLE, SEARCH, SHARE, BLOCK = 16, 32, 20_000, 3_000, 0.6, 4_000
 
 
 class Forest:
     def __init__(self, points: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 11):
         self.normals, self.cuts, self.kids, self.roots = [], [], [], []
-        self.members: dict[int, np.ndarray] = {}
+        self.home = np.empty((len(points), trees), np.int64)
         rng = np.random.default_rng(seed)
-        for _ in range(trees):
-            self.roots.append(self._grow(points, np.arange(len(points)), leaf, rng))
+        for t in range(trees):
+            self.roots.append(self._grow(points, np.arange(len(points)), leaf, rng, self.home[:, t]))
         self.normals = np.array(self.normals, np.float32).reshape(len(self.cuts), -1)
         self.cuts, self.kids = np.array(self.cuts, np.float32), np.array(self.kids, np.int64).reshape(-1, 2)
+        self.leaf = np.cumsum(self.kids[:, 0] < 0) - 1
+        self.levels, at = [], np.array(self.roots)
+        while len(at := at[self.kids[at, 0] >= 0]):
+            self.levels.append(at)
+            at = self.kids[at].ravel()
 
-    def _grow(self, points: np.ndarray, ids: np.ndarray, leaf: int, rng) -> int:
+    def _grow(self, points: np.ndarray, ids: np.ndarray, leaf: int, rng, home: np.ndarray) -> int:
         at = len(self.cuts)
         self.normals.append(np.zeros(points.shape[1]))
         self.cuts.append(0.0)
@@ -54,11 +59,11 @@ class Forest:
                 right = side > cut
                 if right.any() and not right.all():
                     self.normals[at], self.cuts[at] = normal, cut
-                    lo = self._grow(points, ids[~right], leaf, rng)
-                    hi = self._grow(points, ids[right], leaf, rng)
+                    lo = self._grow(points, ids[~right], leaf, rng, home)
+                    hi = self._grow(points, ids[right], leaf, rng, home)
                     self.kids[at] = [lo, hi]
                     return at
-        self.members[at] = ids
+        home[ids] = at
         return at
 
     def route(self, x: np.ndarray) -> np.ndarray:
@@ -76,24 +81,17 @@ class Forest:
                 at[live] = self.kids[node, right.astype(int)]
         return out
 
-    def probe(self, q: np.ndarray, want: int) -> list[int]:
-        """Leaves by nearest margin, through one queue over all trees."""
+    def probe(self, q: np.ndarray, want: int) -> np.ndarray:
+        """Leaves by nearest margin over all trees, until they hold ``want`` sample vectors."""
         margins = self.normals @ q.astype(np.float32) - self.cuts
-        queue = [(-np.inf, r) for r in self.roots]
-        heapq.heapify(queue)
-        found: set[int] = set()
-        leaves: list[int] = []
-        while queue and (len(found) < want or len(leaves) < len(self.roots)):
-            key, node = heapq.heappop(queue)
-            lo, hi = self.kids[node]
-            if lo < 0:
-                leaves.append(node)
-                found.update(self.members[node].tolist())
-                continue
-            m = float(margins[node])
-            heapq.heappush(queue, (max(key, m), int(lo)))
-            heapq.heappush(queue, (max(key, -m), int(hi)))
-        return leaves
+        key = np.full(len(self.cuts), -np.inf, np.float32)
+        for at in self.levels:
+            lo, hi = self.kids[at].T
+            key[lo], key[hi] = np.maximum(key[at], margins[at]), np.maximum(key[at], -margins[at])
+        leaves = np.flatnonzero(self.kids[:, 0] < 0)
+        near, n, least = key[self.home].min(axis=1), min(want, len(self.home)), len(self.roots)
+        far = max(np.partition(near, n - 1)[n - 1], np.partition(key[leaves], least - 1)[least - 1])
+        return leaves[key[leaves] <= far]
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -111,7 +109,7 @@ def _top(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndar
     return q[keep], d[keep], ids[keep]
 
 
-def search(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, want: int = SEARCH) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, want: int = SEARCH, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): ``queries`` are rows of ``df``'s shape, each left out of its own answer."""
     spark = df.sparkSession
     rows, asked = usable(df, id_col, vec_col), usable(queries, id_col, vec_col)
@@ -129,6 +127,7 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int
     rows = rows.join(slim.select("id"), "id", "left_semi")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     forest = spark.sparkContext.broadcast(Forest(np.array([r["v"] for r in sample])))
+    want = max(1, want, int(np.ceil(share * len(sample))))
     blocks = max(1, -(-asked.count() * 2 // BLOCK))
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks))
     parts = []
@@ -137,37 +136,35 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int
         if not got:
             continue
         qid, qv = np.array([r["id"] for r in got]), np.array([r["v"] for r in got])
-        where: dict[int, list[int]] = {}
+        asks = np.zeros((forest.value.leaf[-1] + 1, len(got)), bool)
         for n, q in enumerate(qv):
-            for leaf in forest.value.probe(q, want):
-                where.setdefault(leaf, []).append(n)
-        sent = spark.sparkContext.broadcast((qid, qv, {leaf: np.array(v) for leaf, v in where.items()}))
+            asks[forest.value.leaf[forest.value.probe(q, want)], n] = True
+        sent = spark.sparkContext.broadcast((qid, qv, np.packbits(asks, axis=1)))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            qid, qv, where = sent.value
+            qid, qv, asks = sent.value
             bq, bd, bi = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+            q2, bound = (qv**2).sum(axis=1), np.full(len(qid), np.inf)
             for whole in batches:
                 for lo in range(0, len(whole), 1000):
                     b = whole.iloc[lo : lo + 1000]
                     x, ids = np.stack(b["v"].to_numpy()), b["id"].to_numpy()
-                    n = len(x)
-                    hits = []
+                    met = np.zeros((len(x), asks.shape[1]), np.uint8)
                     for t in forest.value.route(x).T:
-                        order = np.argsort(t, kind="stable")
-                        leaves, starts = np.unique(t[order], return_index=True)
-                        for leaf, at in zip(leaves.tolist(), np.split(order, starts[1:]), strict=True):
-                            if leaf in where:
-                                hits.append((where[leaf][:, None] * n + at[None, :]).ravel())
-                    if not hits:
-                        continue
-                    pairs = np.unique(np.concatenate(hits))
-                    q, r = pairs // n, pairs % n
-                    other = qid[q] != ids[r]
-                    q, r = q[other], r[other]
+                        met |= asks[forest.value.leaf[t]]
+                    on = np.unpackbits(met, axis=1, count=len(qid)).astype(bool) & (ids[:, None] != qid)
+                    # Squares by product tell who cannot be among the k; the others get their exact distance.
+                    both = (x**2).sum(axis=1)[:, None] + q2
+                    rough = np.where(on, both - 2 * (x @ qv.T), np.inf)
+                    if len(x) > k:
+                        bound = np.fmin(bound, np.partition(rough + 1e-9 * both, k - 1, axis=0)[k - 1])
+                    r, q = np.nonzero(on & ~(rough - 1e-9 * both > bound))
                     d = np.empty(len(q))
                     for s in range(0, len(q), 100_000):
                         d[s : s + 100_000] = np.sqrt(((qv[q[s : s + 100_000]] - x[r[s : s + 100_000]]) ** 2).sum(axis=1))
                     bq, bd, bi = _top(np.concatenate([bq, q]), np.concatenate([bd, d]), np.concatenate([bi, ids[r]]), k)
+                    full = np.flatnonzero(np.bincount(bq, minlength=len(qid)) >= k)
+                    bound[full] = np.fmin(bound[full], bd[np.searchsorted(bq, full, "right") - 1] ** 2 * (1 + 1e-9))
             yield pd.DataFrame({"query_id": qid[bq], "vec_id": bi, "score": bd})
 
         parts.append(rows.mapInPandas(run, "query_id long, vec_id long, score double"))

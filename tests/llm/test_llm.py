@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from callweave.llm import ann, langid, minhash, mixing, pii, quality_crf, secret_scan, sentencepiece_bpe, warc, webp
@@ -134,6 +135,21 @@ def test_neighbours(spark):
     assert ann.search(rows.where("false"), rows.where("false"), "vec_id", "v").count() == 0
 
 
+def test_neighbours_recall(spark, tmp_path):
+    """Above the fixed budget and above the sample, against brute force."""
+    rng = np.random.default_rng(3)
+    for n in (5_000, 8_000, 24_000):
+        x = rng.standard_normal((n, 64)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        pd.DataFrame({"vec_id": np.arange(n), "v": list(x)}).to_parquet(tmp_path / f"{n}.parquet")
+        rows = spark.read.parquet(str(tmp_path / f"{n}.parquet"))
+        found = {(r["query_id"], r["vec_id"]) for r in ann.search(rows, rows.where("vec_id < 60"), "vec_id", "v").collect()}
+        d = ((x[:60, None].astype(float) - x[None]) ** 2).sum(axis=2)
+        d[np.arange(60), np.arange(60)] = np.inf
+        true = {(q, int(i)) for q in range(60) for i in np.argsort(d[q], kind="stable")[:10]}
+        assert len(found) == 600 and len(found & true) >= 540, n
+
+
 def test_pieces(spark, docs):
     import public_tokenizers
     import sentencepiece
