@@ -34,6 +34,10 @@ def _contracted(s: SparkSession, d: str) -> DataFrame:
     return graph.contract(adapter.edges(s, d), adapter.catalog(s, d))
 
 
+def _features(s: SparkSession, d: str, metric: str) -> DataFrame:
+    return graph.features(adapter.edges(s, d), adapter.catalog(s, d), adapter.samples(s, d), metric)
+
+
 def _ids(s: SparkSession, d: str) -> DataFrame:
     rows = adapter.items(s, d).groupBy("sample_id", "seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "api_id"))).alias("x"))
     return rows.select("sample_id", "seq_id", F.col("x.api_id").alias("api_ids"))
@@ -100,8 +104,8 @@ def queries() -> dict:
         "classify_gbdt": _classified("gbdt"),
         "classify_rf": _classified("rf"),
     }
-    for metric in graph.METRICS:
-        out[f"centrality_{metric}"] = lambda s, d, m=metric: _rounded(graph.centrality(_contracted(s, d), m))
+    for metric in ("degree", *graph.METRICS):
+        out[f"centrality_{metric}"] = lambda s, d, m=metric: _rounded(_features(s, d, m))
     return out
 
 
@@ -155,6 +159,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_edges": _BASE + "SELECT * FROM edges",
         "contraction": _BASE + "SELECT * FROM contracted",
         "degree": _BASE + ", ends AS (SELECT sample_id, src AS node FROM contracted UNION ALL SELECT sample_id, dst FROM contracted), k AS (SELECT sample_id, node, count(*) AS k FROM ends GROUP BY ALL) SELECT sample_id, node, round(CASE WHEN count(*) OVER (PARTITION BY sample_id) > 1 THEN k / (count(*) OVER (PARTITION BY sample_id) - 1) ELSE 1 END, 9) AS value FROM k",
+        "centrality_degree": _BASE + ", ends AS (SELECT sample_id, src AS node FROM edges UNION ALL SELECT sample_id, dst FROM edges), k AS (SELECT sample_id, node, count(*) AS k, count(*) OVER (PARTITION BY sample_id) AS n FROM ends GROUP BY sample_id, node) SELECT s.sample_id, c.api_id, round(CASE WHEN k IS NULL THEN 0 WHEN n > 1 THEN k / (n - 1) ELSE 1 END, 9) AS value FROM (SELECT DISTINCT sample_id FROM samples) s CROSS JOIN catalog c LEFT JOIN k ON k.sample_id = s.sample_id AND k.node = c.api",
         "pruned_sequences": _BASE + ", u AS (SELECT DISTINCT sample_id, api_ids FROM seqs) SELECT * FROM u x WHERE NOT EXISTS (SELECT 1 FROM u y WHERE y.sample_id = x.sample_id AND length(y.api_ids) > length(x.api_ids) AND contains(' ' || y.api_ids || ' ', ' ' || x.api_ids || ' '))",
         "join_inner": _BASE + "SELECT sample_id, coalesce(p.label, q.label) AS label, n_chars, n_items FROM p_src p JOIN q_src q USING (sample_id)",
         "join_outer": _BASE + "SELECT sample_id, coalesce(p.label, q.label) AS label, n_chars, n_items FROM p_src p FULL JOIN q_src q USING (sample_id)",

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,31 @@ def test_contraction_and_cover(spark):
     assert values["harmonic"] == [0, 1, 2] and values["closeness"] == [0, 0.5, 1]
 
 
+def test_features_of_the_whole_graph(spark):
+    """Nodes outside the catalogue count; names not in the graph and samples without edges get 0."""
+    cat = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "api_id int, api string")
+    edges = spark.createDataFrame([(1, *e) for e in ("ax", "xb", "xy", "yc", "ya", "bc")], "sample_id long, src string, dst string")
+    samples = spark.createDataFrame([(1,), (2,)], "sample_id long")
+    got = {m: [tuple(r) for r in graph.features(edges, cat, samples, m).orderBy("sample_id", "api_id").collect()] for m in ("degree", *graph.METRICS)}
+    assert all(v[3:] == [(1, 4, 0.0)] + [(2, i, 0.0) for i in (1, 2, 3, 4)] for v in got.values())
+    values = {m: [r[2] for r in v[:3]] for m, v in got.items()}
+    assert values["degree"] == [0.5, 0.5, 0.5]
+    # Distances to a: y 1, x 2; to b: x 1, a 2, y 3; to c: y 1, b 1, x 2, a 3.
+    assert values["harmonic"] == pytest.approx([1.5, 11 / 6, 17 / 6])
+    assert values["closeness"] == pytest.approx([2 / 3 * 2 / 4, 3 / 6 * 3 / 4, 4 / 7])
+    x = np.linalg.solve(np.eye(5) - 0.01 * np.array([[0, 0, 0, 1, 0], [0, 0, 1, 0, 0], [0] * 5, [0, 1, 0, 0, 1], [1, 0, 1, 0, 0]]), np.ones(5))
+    assert values["katz"] == pytest.approx((x / x.sum())[:3], abs=1e-6)
+
+
+def test_features_of_one_name(spark):
+    """Of two methods with one name the later node counts."""
+    cat = spark.createDataFrame([(1, "a.B.m")], "api_id int, api string")
+    edges = spark.createDataFrame([(1, "La/B;->m(I)V", "x"), (1, "y", "La/B;->m()V"), (1, "z", "La/B;->m()V")], "sample_id long, src string, dst string")
+    nodes = spark.createDataFrame([(1, "La/B;->m(I)V", 9), (1, "La/B;->m()V", 2)], "sample_id long, node string, node_ord long")
+    samples = edges.select("sample_id").distinct()
+    assert [graph.features(edges, cat, samples, "harmonic", o).first()["value"] for o in (nodes, nodes.withColumn("node_ord", -F.col("node_ord")))] == [0.0, 2.0]
+
+
 def test_prune(spark):
     rows = spark.createDataFrame([(1, [1, 2, 3]), (1, [1, 3]), (1, [2, 3]), (1, [12, 3])], "sample_id long, api_ids array<int>")
     assert sorted(r["api_ids"] for r in graph.prune(rows).collect()) == [[1, 2, 3], [1, 3], [12, 3]]
