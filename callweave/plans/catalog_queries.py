@@ -38,6 +38,10 @@ def _features(s: SparkSession, d: str, metric: str) -> DataFrame:
     return graph.features(adapter.edges(s, d), adapter.catalog(s, d), adapter.samples(s, d), metric)
 
 
+def _present(s: SparkSession, d: str) -> DataFrame:
+    return graph.present(adapter.edges(s, d), adapter.catalog(s, d))
+
+
 def _ids(s: SparkSession, d: str) -> DataFrame:
     rows = adapter.items(s, d).groupBy("sample_id", "seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "api_id"))).alias("x"))
     return rows.select("sample_id", "seq_id", F.col("x.api_id").alias("api_ids"))
@@ -92,7 +96,8 @@ def queries() -> dict:
         "contraction": _contracted,
         "degree": lambda s, d: _rounded(graph.degree(_contracted(s, d))),
         "pruned_sequences": lambda s, d: _lines(graph.prune(_ids(s, d))),
-        "path_cover": lambda s, d: _lines(graph.path_cover(_contracted(s, d))),
+        "contraction_nodes": _present,
+        "path_cover": lambda s, d: _lines(graph.path_cover(_contracted(s, d), _present(s, d))),
         "join_inner": _joined("inner"),
         "join_outer": _joined("outer"),
         "join_first": _joined("first"),
@@ -158,6 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "cluster_summary": _BASE + "SELECT c.cluster, count(a.value) AS size, round(avg(a.value), 6) AS avg_value, CAST(center AS DOUBLE) AS center FROM centers c LEFT JOIN assigned a ON a.cluster = c.cluster GROUP BY c.cluster, center",
         "graph_edges": _BASE + "SELECT * FROM edges",
         "contraction": _BASE + "SELECT * FROM contracted",
+        "contraction_nodes": _BASE + "SELECT DISTINCT sample_id, api_id AS node FROM (SELECT sample_id, src AS api FROM edges UNION SELECT sample_id, dst FROM edges) JOIN catalog USING (api)",
         "degree": _BASE + ", ends AS (SELECT sample_id, src AS node FROM contracted UNION ALL SELECT sample_id, dst FROM contracted), k AS (SELECT sample_id, node, count(*) AS k FROM ends GROUP BY ALL) SELECT sample_id, node, round(CASE WHEN count(*) OVER (PARTITION BY sample_id) > 1 THEN k / (count(*) OVER (PARTITION BY sample_id) - 1) ELSE 1 END, 9) AS value FROM k",
         "centrality_degree": _BASE + ", ends AS (SELECT sample_id, src AS node FROM edges UNION ALL SELECT sample_id, dst FROM edges), k AS (SELECT sample_id, node, count(*) AS k, count(*) OVER (PARTITION BY sample_id) AS n FROM ends GROUP BY sample_id, node) SELECT s.sample_id, c.api_id, round(CASE WHEN k IS NULL THEN 0 WHEN n > 1 THEN k / (n - 1) ELSE 1 END, 9) AS value FROM (SELECT DISTINCT sample_id FROM samples) s CROSS JOIN catalog c LEFT JOIN k ON k.sample_id = s.sample_id AND k.node = c.api",
         "pruned_sequences": _BASE + ", u AS (SELECT DISTINCT sample_id, api_ids FROM seqs) SELECT * FROM u x WHERE NOT EXISTS (SELECT 1 FROM u y WHERE y.sample_id = x.sample_id AND length(y.api_ids) > length(x.api_ids) AND contains(' ' || y.api_ids || ' ', ' ' || x.api_ids || ' '))",

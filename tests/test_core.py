@@ -55,6 +55,18 @@ def test_features_of_one_name(spark):
     assert [graph.features(edges, cat, samples, "harmonic", o).first()["value"] for o in (nodes, nodes.withColumn("node_ord", -F.col("node_ord")))] == [0.0, 2.0]
 
 
+def test_isolated_nodes(spark):
+    """Case 2.3 of FIXTURES with d isolated, and a sample whose catalogue nodes reach no other one."""
+    cat = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "api_id int, api string")
+    edges = [(1, *e) for e in ("ax", "xb", "xy", "yc", "ya", "bc")] + [(2, "a", "x"), (2, "a", "a"), (2, "y", "c")]
+    edges = spark.createDataFrame(edges, "sample_id long, src string, dst string")
+    nodes = spark.createDataFrame([(1, v) for v in "abcdxy"], "sample_id long, node string")
+    there = graph.present(edges, cat, nodes)
+    assert sorted(map(tuple, there.collect())) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 3)]
+    cover = graph.path_cover(graph.contract(edges, cat), there)
+    assert sorted((r["sample_id"], r["api_ids"]) for r in cover.collect()) == [(1, [1, 2, 3]), (1, [1, 3]), (1, [4]), (2, [1]), (2, [3])]
+
+
 def test_prune(spark):
     rows = spark.createDataFrame([(1, [1, 2, 3]), (1, [1, 3]), (1, [2, 3]), (1, [12, 3])], "sample_id long, api_ids array<int>")
     assert sorted(r["api_ids"] for r in graph.prune(rows).collect()) == [[1, 2, 3], [1, 3], [12, 3]]
