@@ -19,6 +19,7 @@ clashing output name is refused.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import struct
 from array import array
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -327,6 +329,29 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
     return df.withColumn(text_col, text(F.col(ids_col)))
 
 
+def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 500) -> DataFrame:
+    """(id, n_tokens, ids, decoded_sha256): ids as by ``encode`` and the digest of their text as by ``decode``, with one model in a worker."""
+    proto, dead = _shipped(model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(proto, dead)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                b = whole.slice(lo, rows)
+                flat, offsets, digests = array("i"), array("i", [0]), []
+                for t in b.column(1):
+                    model.encode(t.as_py(), flat)
+                    digests.append(hashlib.sha256(model.decode(flat[offsets[-1] :].tolist()).encode()).hexdigest())
+                    offsets.append(len(flat))
+                ids = pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))
+                n = pa.array(np.diff(np.array(offsets)), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), n, ids, pa.array(digests, pa.string())], names)
+
+    names = [id_col, "n_tokens", "ids", "decoded_sha256"]
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def op1(spark, sf_dir):
     import public_tokenizers
 

@@ -36,9 +36,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids of the whole text and their number."""
-    out = sentencepiece_bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, ids of the whole text, their number, and the digest of the text decoded from them."""
+    return sentencepiece_bpe.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -1,0 +1,32 @@
+import hashlib
+
+import pytest
+
+sentencepiece = pytest.importorskip("sentencepiece")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+import corpus_pipeline  # noqa: E402
+
+SECRET = "aB3xY9qLm2Zk7Rt5"
+
+
+def test_run(spark, tmp_path):
+    """All stages against what can be said of them by hand and the library's ids."""
+    words = "the cat and a dog went over to that old house with some of their best friends because it was warm".split()
+    texts = {i: " ".join(words[(i * j) % len(words)] for j in range(1, 18)) + f" number{i} {i}" for i in range(2, 12)}
+    texts[12] = f'{texts[2]} and token = "{SECRET}" {texts[3]} é'
+    copies = {20: texts[4], 21: texts[5]}
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in {**texts, **copies, 30: "", 31: None, 32: "12 34"}.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    size = {i: len(t.split()) for i, t in texts.items()}
+    assert set(r["doc_id"] for r in out) <= set(texts)
+    assert abs(sum(size[r["doc_id"]] for r in out) - 1.5 * sum(size.values())) <= max(size.values())
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in out:
+        text = model.decode(list(r["ids"]))
+        assert r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        if r["doc_id"] == 12:
+            assert SECRET not in text and text.startswith(texts[2]) and text.endswith(f"{texts[3]} é")
+        else:
+            assert list(r["ids"]) == model.encode(texts[r["doc_id"]]) + [2] and text == texts[r["doc_id"]]
