@@ -30,3 +30,12 @@ def test_run(spark, tmp_path):
             assert SECRET not in text and text.startswith(texts[2]) and text.endswith(f"{texts[3]} é")
         else:
             assert list(r["ids"]) == model.encode(texts[r["doc_id"]]) + [2] and text == texts[r["doc_id"]]
+
+
+def test_unlearnt_language(spark):
+    learnt = "the cat and a dog went over to that old house with some of their best friends because it was warm and then they all came back"
+    other = "az ember nem tudja, hogy mikor jön el az igazság pillanata, de mindig készen kell állnia a válaszra"
+    noise = "xqzv kjwq zzxk qqvw pfgh jkxz wvqk zxcv qwzx kkjq xvbz hjqk zzvw pqxj wkkz qvvx"
+    rows = [(1, learnt, "en"), (2, learnt[40:], "en"), (3, other, None), (4, noise, None), (5, learnt[:60], None), (6, "Sí", "en"), (7, "xqzv", None), (8, "12", None), (9, noise[:40], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 2, 5, 6, 7, 9]
