@@ -30,6 +30,11 @@ def _assigned(s: SparkSession, d: str) -> DataFrame:
     return learning.assign_cluster(_values(s, d).select("sample_id", F.col("value").cast("double").alias("value")), CENTERS)
 
 
+def _fitted_histogram(s: SparkSession, d: str) -> DataFrame:
+    values = _values(s, d).select("sample_id", F.col("value").cast("double").alias("value")).cache()
+    return learning.histogram(learning.assign_cluster(values, learning.fit_centers(values)))
+
+
 def _contracted(s: SparkSession, d: str) -> DataFrame:
     return graph.contract(adapter.edges(s, d), adapter.catalog(s, d))
 
@@ -91,6 +96,7 @@ def queries() -> dict:
         "merged_values": _values,
         "cluster_histogram": lambda s, d: learning.histogram(_assigned(s, d)),
         "cluster_summary": lambda s, d: learning.cluster_summary(_assigned(s, d), CENTERS),
+        "kmeans_histogram": _fitted_histogram,
         "silhouette": lambda s, d: _rounded(learning.silhouette(_assigned(s, d))),
         "graph_edges": lambda s, d: graph.collapse(adapter.edges(s, d)),
         "contraction": _contracted,

@@ -84,6 +84,16 @@ def test_silhouette(spark):
     assert learning.silhouette(rows).first()[0] == pytest.approx(0.776558205)
 
 
+def test_kmeans_histogram(spark, monkeypatch):
+    """The query fits its centres to the values: here one for each of three groups."""
+    rows = spark.createDataFrame([(s, float(v)) for s in (1, 2) for v in (1, 2, 10, 11, 30, 31)[: 6 if s == 1 else 3]], "sample_id long, value double")
+    fit = learning.fit_centers
+    monkeypatch.setattr(catalog_queries, "_values", lambda s, d: rows)
+    monkeypatch.setattr(learning, "fit_centers", lambda values: fit(values, 3))
+    got = catalog_queries.queries()["kmeans_histogram"](spark, "")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 2), (1, 1, 2), (1, 2, 2), (2, 0, 2), (2, 1, 1)]
+
+
 def test_metrics(spark):
     rows = [(0, 0)] * 5 + [(0, 1)] + [(1, 0)] * 2 + [(1, 1)] * 4
     m = learning.metrics(spark.createDataFrame(rows, "label int, prediction int")).first()
