@@ -12,8 +12,11 @@ normalisation, the default white space mark in front of words and byte fallback.
 Other models are refused with ``ValueError``.
 
 Defined results: null and empty texts give the end id alone and decode to the
-empty text; texts of any length are encoded whole; other columns are kept, and a
-clashing output name is refused.
+empty text; null ids decode to the empty text; texts of any length are encoded whole;
+repeated rows each give their row; there are no ties (of equal scores the left pair
+merges first, as in the model's own rule); an empty table gives no rows; ``encode`` and
+``decode`` keep other columns and refuse an output name that is taken; ``round_trip``
+returns its own columns only, whatever else the table holds.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Entries a worker keeps of encoded parts and of checked neighbours.
-CACHE_PARTS, CACHE_PAIRS, CACHED_PART_CHARS = 800_000, 1_000_000, 40
+#: Bytes, by estimate, that a worker keeps of encoded parts; entries of checked neighbours and of prefixes.
+CACHE_BYTES, CACHE_PAIRS, CACHED_PART_CHARS = 96 << 20, 250_000, 40
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -246,16 +249,22 @@ class PieceModel:
 
 
 class _Parts(dict):
+    """Ids by part, in two generations: when the younger has half of the bytes, the older goes."""
+
     def __init__(self, model: PieceModel):
         self.model = model
         self.before: dict[str, tuple[int, ...]] = {}
+        self.size = 0
 
     def __missing__(self, part: str) -> tuple[int, ...]:
         ids = self.before.pop(part, None) or self.model.part_ids(part)
-        if len(self) >= CACHE_PARTS // 2:  # what was in use lately stays
-            self.before = dict(self)
-            self.clear()
         if len(part) <= CACHED_PART_CHARS:
+            if self.size >= CACHE_BYTES // 2:  # what was in use lately stays
+                self.before = dict(self)
+                self.clear()
+                self.size = 0
+            # A string, a tuple of shared numbers and a dictionary's slot.
+            self.size += 200 + 2 * len(part) + 8 * len(ids)
             self[part] = ids
         return ids
 
@@ -329,27 +338,36 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
     return df.withColumn(text_col, text(F.col(ids_col)))
 
 
-def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 500) -> DataFrame:
-    """(id, n_tokens, ids, decoded_sha256): ids as by ``encode`` and the digest of their text as by ``decode``, with one model in a worker."""
+def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, rows: int = 200) -> DataFrame:
+    """(id, n_tokens, ids, ids_sha256, decoded_sha256) with one model in a worker and one step for both ways.
+
+    ``ids`` are those of ``encode`` (left out unless ``with_ids``), ``ids_sha256`` the digest of their decimals joined by
+    blanks, ``decoded_sha256`` that of the text ``decode`` gives for them.
+    """
     proto, dead = _shipped(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(proto, dead)
+        decimal = list(map(str, range(len(model.pieces))))
         for whole in batches:
             for lo in range(0, whole.num_rows, rows):
                 b = whole.slice(lo, rows)
-                flat, offsets, digests = array("i"), array("i", [0]), []
+                flat, offsets, digests, decoded = array("i"), array("i", [0]), [], []
                 for t in b.column(1):
-                    model.encode(t.as_py(), flat)
-                    digests.append(hashlib.sha256(model.decode(flat[offsets[-1] :].tolist()).encode()).hexdigest())
-                    offsets.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))
+                    ids = model.encode(t.as_py()).tolist()
+                    digests.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
+                    if with_ids:
+                        flat.extend(ids)
+                    offsets.append(offsets[-1] + len(ids))
                 n = pa.array(np.diff(np.array(offsets)), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), n, ids, pa.array(digests, pa.string())], names)
+                lists = [pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([b.column(0), n, *lists, pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names)
 
-    names = [id_col, "n_tokens", "ids", "decoded_sha256"]
+    names = [id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids array<int>, decoded_sha256 string")
+    listed = "ids array<int>, " if with_ids else ""
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {listed}ids_sha256 string, decoded_sha256 string")
 
 
 def op1(spark, sf_dir):
@@ -357,8 +375,4 @@ def op1(spark, sf_dir):
 
     from .common import table
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, path), path)
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
