@@ -39,7 +39,7 @@ SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Bytes, by estimate, that a worker keeps of encoded parts; entries of checked neighbours and of prefixes.
-CACHE_BYTES, CACHE_PAIRS, CACHED_PART_CHARS = 96 << 20, 250_000, 40
+CACHE_BYTES, CACHE_PAIRS, CACHED_PART_CHARS = 240 << 20, 500_000, 40
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
