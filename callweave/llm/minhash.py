@@ -172,7 +172,7 @@ def _heads(opened: DataFrame, most: int) -> DataFrame:
     for keys in (["band", "salt"], ["band"]):
         by = Window.partitionBy(*keys).orderBy("o")
         slim = slim.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most).drop("r")
-    return slim.selectExpr("band", "id AS a", "n AS hn", "comp AS hc", "o AS ho", "reach AS hr")
+    return slim.selectExpr("band", "id AS a", "n AS hn", "comp AS hc", "o AS ho", "reach AS hr", "at AS ha")
 
 
 def _reach(caps, n, percent: int):
@@ -181,10 +181,10 @@ def _reach(caps, n, percent: int):
 
 
 def _rare(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Open texts in buckets of their rarest shingles: (band, id, n, reach, early).
+    """Open texts in buckets of their rarest shingles: (band, id, n, reach, at, early).
 
     Shingles are ordered by how many open texts have them. Of a text as many come first as the smallest possible partner
-    must leave out of it, and one; ``early`` are those that a partner of its own size or more must leave out, and one.
+    must leave out of it, and one (``at`` is the place); ``early`` are those that a partner of its own size or more must leave out, and one.
     """
     ids = cut(opened.select("id").distinct())
     own = only(sets, "id", ids, ids.count()).select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
@@ -195,7 +195,7 @@ def _rare(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = F.col("n") - F.ceil(F.col("n") * (2 * percent / (100 + percent)) - 1e-9) + 1
     first = F.slice("all", F.lit(1), F.least(far, F.col("n")).cast("int"))
     rows = rows.where("reach > 0").select("id", "n", "reach", near.alias("near"), F.posexplode(first).alias("at", "x")).where("x.k > 1")
-    out = cut(rows.select(F.col("x.s").alias("band"), "id", "n", "reach", (F.col("at") < F.col("near")).alias("early")))
+    out = cut(rows.select(F.col("x.s").alias("band"), "id", "n", "reach", "at", (F.col("at") < F.col("near")).alias("early")))
     drop(ids)
     return out
 
@@ -238,10 +238,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = cut(shingle_sets(texts if single else texts.dropDuplicates(), width))
     links, tested, most = cut(again.where("a <> b").select("a", "b")), None, 1
     label = components(links)
-    opened = _open(members.withColumn("reach", _reach(F.col("n"), F.col("n"), percent)).withColumn("early", F.lit(True)), label)
+    opened = _open(members.withColumn("reach", _reach(F.col("n"), F.col("n"), percent)).withColumn("at", F.lit(0)).withColumn("early", F.lit(True)), label)
     while True:
         heads = cut(_heads(opened, most))
-        pairs = opened.join(heads, "band").where("(o > ho or not early) and comp <> hc and n <= hr and hn <= reach and (early or hn <= n)")
+        pairs = opened.join(heads, "band").where("(o > ho or not early) and comp <> hc and n <= hr and hn <= reach")
+        # What comes before the rarest common shingle is not shared: so much each text may leave out, and no more.
+        pairs = pairs.where(f"greatest(at - n, ha - hn) + ceil({percent} * (n + hn) / {100 + percent} - 1e-9) <= 0")
         pairs = pairs.select("a", F.col("id").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         new = _confirm(pairs, sets, percent)
