@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 from pyspark.sql.window import Window
 
 from ..functions.names import normal_label
@@ -38,15 +41,33 @@ def cluster_summary(assigned: DataFrame, centers: list[float]) -> DataFrame:
     return all_.join(per, "cluster", "left").select("cluster", F.coalesce("size", F.lit(0)).alias("size"), F.round("avg_value", 6).alias("avg_value"), F.round("center", 6).alias("center"))
 
 
+def _running(df: DataFrame, group: str, bucket: str, order: list, total: str | None = None) -> DataFrame:
+    """``df`` with ``i`` (place in the group, from 1) and, of ``total``, the running sum ``s``.
+
+    ``bucket`` follows the order and parts a group, so a large group is dealt over tasks: its buckets' counts and sums, few
+    rows, carry over.
+    """
+    sums = [F.count("*").alias("bn")] + ([F.sum(total).alias("bt")] if total else [])
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(group, bucket).agg(*sums)
+    base = base.select(group, bucket, F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("bi"), *([F.coalesce(F.sum("bt").over(before), F.lit(0.0)).alias("bs")] if total else []))
+    by = Window.partitionBy(group, bucket).orderBy(*order)
+    out = df.withColumn("i", F.row_number().over(by))
+    if total:
+        out = out.withColumn("s", F.sum(total).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(F.broadcast(base), [group, bucket]).withColumn("i", F.col("i") + F.col("bi")).drop("bi")  # groups x 1,024 rows
+    return (out.withColumn("s", F.col("s") + F.col("bs")).drop("bs") if total else out).drop(bucket)
+
+
 def silhouette(assigned: DataFrame) -> DataFrame:
     """(silhouette): exact mean over all values; clusters are intervals, so neighbours decide."""
-    by = Window.partitionBy("cluster").orderBy("value")
-    run = by.rowsBetween(Window.unboundedPreceding, 0)
-    per = assigned.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("value").alias("t"))
+    per = assigned.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("value").alias("t"), F.min("value").alias("least"), F.max("value").alias("most"))
     order = Window.orderBy("cluster")  # as many rows as clusters
     mean = F.col("t") / F.col("m")
     per = per.withColumn("lo", F.lag(mean).over(order)).withColumn("hi", F.lead(mean).over(order))
-    x = assigned.withColumn("i", F.row_number().over(by)).withColumn("s", F.sum("value").over(run)).join(F.broadcast(per), "cluster")
+    part = F.coalesce(F.floor(F.try_divide((F.col("value") - F.col("least")) * 1023, F.col("most") - F.col("least"))), F.lit(0)).cast("int")
+    x = assigned.join(F.broadcast(per), "cluster").withColumn("part", part)
+    x = _running(x, "cluster", "part", ["value"], "value")
     v = F.col("value")
     a = ((2 * F.col("i") - F.col("m")) * v + F.col("t") - 2 * F.col("s")) / (F.col("m") - 1)
     b = F.least(v - F.col("lo"), F.col("hi") - v)
@@ -92,9 +113,73 @@ def first_rows(df: DataFrame, order: str) -> DataFrame:
 
 
 def folds(samples: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
-    """(sample_id, label, fold): stratified, by hash order."""
-    by = Window.partitionBy("label").orderBy(F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f"#{seed}")).cast("binary")), "sample_id")
-    return samples.where("label in (0, 1)").select("sample_id", "label", ((F.row_number().over(by) - 1) % k).cast("int").alias("fold"))
+    """(sample_id, label, fold): stratified, by hash order; a class is ranked in 1,024 parts of the hash's range."""
+    mark = F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f"#{seed}")).cast("binary"))
+    rows = samples.where("label in (0, 1)").select("sample_id", "label", mark.alias("mark"))
+    rows = rows.withColumn("part", F.floor(F.conv(F.substring("mark", 1, 3), 16, 10).cast("int") / 4).cast("int"))
+    return _running(rows, "label", "part", ["mark", "sample_id"]).select("sample_id", "label", ((F.col("i") - 1) % k).cast("int").alias("fold"))
+
+
+def fold_average(rates: DataFrame) -> DataFrame:
+    """One row: the mean of each column over folds, without null and NaN; null where no fold has a value."""
+    return rates.agg(*[F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in rates.columns if c != "fold"])
+
+
+def knn(train: DataFrame, test: DataFrame, features: list[str], k: int = 3, block: int = 2000) -> DataFrame:
+    """(sample_id, label, prediction, score) of test rows by their k nearest train rows, each voting by inverse distance.
+
+    A row at distance 0 leaves the vote to those at 0. Ties of distance go to the smaller id, of votes to class 0. Train rows are sent
+    in blocks of bounded size, each test partition keeps its k best, so there is no join.
+    """
+    spark = train.sparkSession
+    fine = lambda df: df.where("label in (0, 1)").select("sample_id", F.col("label").cast("int").alias("label"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("v"))
+    base, asked = fine(train).persist(), fine(test)
+    n = base.count()
+    blocks = max(1, -(-n // block))
+    schema = "sample_id " + asked.schema["sample_id"].dataType.simpleString() + ", label int, v array<double>, best array<struct<d:double,id:string,y:int>>"
+    found = asked.withColumn("best", F.array().cast("array<struct<d:double,id:string,y:int>>"))
+    for i in range(blocks):
+        part = base.where(F.pmod(F.xxhash64("sample_id"), F.lit(blocks)) == i).orderBy("sample_id").collect()
+        if not part:
+            continue
+        sent = spark.sparkContext.broadcast(([str(r["sample_id"]) for r in part], np.array([r["label"] for r in part]), np.array([r["v"] for r in part]).reshape(len(part), -1)))
+
+        def nearer(batches, sent=sent):
+            ids, y, x = sent.value
+            for b in batches:
+                out = []
+                for v, best in zip(b["v"], b["best"], strict=True):
+                    d = np.sqrt(((x - np.asarray(v, float)) ** 2).sum(axis=1))
+                    edge = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                    got = [(float(d[j]), ids[j], int(y[j])) for j in np.flatnonzero(d <= edge)]
+                    out.append(sorted([(r["d"], r["id"], r["y"]) for r in best] + got)[:k])
+                b["best"] = [[{"d": d, "id": i, "y": y} for d, i, y in r] for r in out]
+                yield b
+
+        found = found.mapInPandas(nearer, schema)
+    same = F.filter("best", lambda r: r["d"] == 0)
+    votes = F.when(F.size(same) > 0, F.transform(same, lambda r: F.struct(F.lit(1.0).alias("w"), r["y"].alias("y")))).otherwise(F.transform("best", lambda r: F.struct((1 / r["d"]).alias("w"), r["y"].alias("y"))))
+    found = found.withColumn("votes", votes)
+    total = lambda f: F.aggregate(f, F.lit(0.0), lambda a, r: a + r["w"])
+    share = F.try_divide(total(F.filter("votes", lambda r: r["y"] == 1)), total(F.col("votes")))
+    return found.select("sample_id", "label", (F.coalesce(share, F.lit(0.0)) > 0.5).cast("int").alias("prediction"), F.coalesce(share, F.lit(0.0)).alias("score"))
+
+
+def cross_validate(rows: DataFrame, fit_and_rate, k: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(rates by fold, their average): ``fit_and_rate(train, test)`` gives a row of metrics; folds whose train part lacks a class are skipped."""
+    dealt = rows.join(folds(rows, k, seed).select("sample_id", "fold"), "sample_id").persist()
+    classes = {r["fold"]: r["k"] for r in dealt.groupBy("fold", "label").count().groupBy("fold").agg(F.count("*").alias("k")).collect()}
+    whole = dealt.select("label").distinct().count()
+    out = None
+    for f in sorted(classes):
+        train = dealt.where(F.col("fold") != f).drop("fold")
+        if whole < 2 or train.select("label").distinct().count() < 2:
+            continue
+        one = fit_and_rate(train, dealt.where(F.col("fold") == f).drop("fold")).withColumn("fold", F.lit(f))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = metrics(rows.where("false").select("label", F.col("label").alias("prediction"))).where("false").withColumn("fold", F.lit(0))
+    return out, fold_average(out)
 
 
 def metrics(predicted: DataFrame) -> DataFrame:
@@ -122,11 +207,13 @@ def classifier(kind: str = "xgb", seed: int = 42):
 
 
 def evaluate(train: DataFrame, test: DataFrame, kind: str = "xgb", seed: int = 42) -> DataFrame:
-    """Fit on train's features, missing test columns are 0, and give the metrics of test."""
-    names = [c for c in train.columns if c not in ("sample_id", "label")]
+    """Fit on train's numeric features, missing test columns are 0, and give the metrics of test."""
+    names = [f.name for f in train.schema.fields if f.name not in ("sample_id", "label") and isinstance(f.dataType, (NumericType, BooleanType))]
     for c in names:
         if c not in test.columns:
             test = test.withColumn(c, F.lit(0.0))
+    if kind == "knn":
+        return metrics(knn(train, test, names))
     make = VectorAssembler(inputCols=names, outputCol="features").transform
     fine = lambda df: make(df.where("label in (0, 1)").na.fill(0, names))
     return metrics(classifier(kind, seed).fit(fine(train)).transform(fine(test)))

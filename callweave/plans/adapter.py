@@ -14,25 +14,41 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id").join(labels, "doc_id", "left").select(F.col("doc_id").alias("sample_id"), F.col("toxic").alias("label"))
 
 
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """(sample_id, seqs): the words of each line of a sample, one row for a sample; tokenised once in a session.
+
+    Only runs of a to z count as words, so accented and other letters part them, as in the queries' SQL.
+    """
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("sample_id"), "text").where("text is not null")
+    words = F.transform(F.split("text", "\n"), lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z]+"), F.lit(0)))
+    return docs.select("sample_id", words.alias("seqs")).persist()
+
+
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("sample_id"), "text")
-    lines = docs.select("sample_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    words = F.regexp_extract_all(F.lower("line"), F.lit("[a-z]+"), F.lit(0))
-    return lines.select("sample_id", (F.col("i") + 1).alias("seq_id"), F.posexplode(words).alias("p", "api")).select("sample_id", "seq_id", (F.col("p") + 1).alias("pos"), "api")
+    """(sample_id, seq_id, pos, api)."""
+    rows = lines(spark, d).select("sample_id", F.posexplode("seqs").alias("i", "ws"))
+    return rows.select("sample_id", (F.col("i") + 1).alias("seq_id"), F.posexplode("ws").alias("p", "api")).select("sample_id", "seq_id", (F.col("p") + 1).alias("pos"), "api")
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
-    per = tokens(spark, d).select("sample_id", "api").distinct().groupBy("api").agg(F.count("*").alias("n"))
+    """The words of most samples: distinct ones of a row need no shuffle."""
+    per = lines(spark, d).select(F.explode(F.array_distinct(F.flatten("seqs"))).alias("api")).groupBy("api").agg(F.count("*").alias("n"))
     top = per.orderBy(F.desc("n"), "api").limit(CATALOG)
-    return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "api")).alias("api_id"), "api")
+    return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "api")).alias("api_id"), "api").persist()
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     """(sample_id, seq_id, pos, api_id)."""
-    return tokens(spark, d).join(F.broadcast(catalog(spark, d)), "api").select("sample_id", "seq_id", "pos", "api_id")
+    known = F.broadcast(catalog(spark, d))  # CATALOG rows
+    return tokens(spark, d).join(known, "api").select("sample_id", "seq_id", "pos", "api_id").persist()
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    t = tokens(spark, d)
-    nxt = t.select("sample_id", "seq_id", (F.col("pos") - 1).alias("pos"), F.col("api").alias("dst"))
-    return t.join(nxt, ["sample_id", "seq_id", "pos"]).select("sample_id", F.col("api").alias("src"), "dst").distinct()
+    """(sample_id, src, dst), distinct: words that follow each other, paired inside the row, so without a join or a shuffle."""
+
+    def pairs(ws):
+        return F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.size(ws)), lambda a, b: F.concat_ws(" ", a, b))
+
+    both = F.array_distinct(F.flatten(F.transform("seqs", pairs)))
+    rows = lines(spark, d).select("sample_id", F.explode(both).alias("e"))
+    return rows.select("sample_id", F.substring_index("e", " ", 1).alias("src"), F.substring_index("e", " ", -1).alias("dst"))

@@ -23,7 +23,7 @@ def _w(s: SparkSession, d: str) -> DataFrame:
 
 
 def _values(s: SparkSession, d: str) -> DataFrame:
-    return sequences.merged_values(adapter.items(s, d), _w(s, d))
+    return sequences.merged_values(adapter.items(s, d), _w(s, d).persist())
 
 
 def _assigned(s: SparkSession, d: str) -> DataFrame:
@@ -86,6 +86,15 @@ def _classified(kind: str):
     return run
 
 
+def _known(s: SparkSession, d: str) -> DataFrame:
+    return learning.join_features(_sources(s, d), "first", drop_unlabeled=True)[0]
+
+
+def _knn_vote(s: SparkSession, d: str) -> DataFrame:
+    rows = _known(s, d)
+    return _rounded(learning.knn(rows.where("pmod(sample_id, 5) <> 0"), rows.where("pmod(sample_id, 5) = 0"), ["n_chars", "n_items"]))
+
+
 def queries() -> dict:
     out = {
         "catalog": adapter.catalog,
@@ -114,6 +123,12 @@ def queries() -> dict:
         "path_labels": lambda s, d: s.createDataFrame([(p,) for p in PATHS], "path string").select("path", label_any(F.col("path")).alias("any_label"), label_nearest(F.col("path")).alias("nearest_label")),
         "classify_gbdt": _classified("gbdt"),
         "classify_rf": _classified("rf"),
+        "classify_et": _classified("et"),
+        "classify_xgb": _classified("xgb"),
+        "classify_knn": _classified("knn"),
+        "knn_vote": _knn_vote,
+        "fold_metrics": lambda s, d: _rounded(learning.cross_validate(_known(s, d), lambda a, b: learning.evaluate(a, b, "knn"))[0]),
+        "fold_average": lambda s, d: _rounded(learning.cross_validate(_known(s, d), lambda a, b: learning.evaluate(a, b, "knn"))[1]),
     }
     for metric in ("degree", *graph.METRICS):
         out[f"centrality_{metric}"] = lambda s, d, m=metric: _rounded(_features(s, d, m))
@@ -134,7 +149,6 @@ weights AS (SELECT *, p * (1 - entropy / ln(2.0)) AS weight FROM ent),
 w AS (SELECT api_id, CAST(round(weight * 1e9) AS BIGINT) AS w FROM weights),
 totals AS (SELECT sample_id, seq_id, CAST(sum(coalesce(w, 0)) AS BIGINT) AS total FROM items LEFT JOIN w USING (api_id) GROUP BY ALL),
 idx AS (SELECT DISTINCT sample_id, seq_id, api_id, w, total FROM items JOIN w USING (api_id) JOIN totals USING (sample_id, seq_id) WHERE w > 0),
-links AS (SELECT a.sample_id, a.seq_id AS a, b.seq_id AS b FROM idx a JOIN idx b ON a.sample_id = b.sample_id AND a.api_id = b.api_id AND a.seq_id < b.seq_id WHERE 3 * a.total <= 10 * b.total AND 3 * b.total <= 10 * a.total GROUP BY ALL HAVING true),
 shared AS (SELECT a.sample_id, a.seq_id AS a, b.seq_id AS b, sum(a.w) AS s, max(greatest(a.total, b.total)) AS m FROM idx a JOIN idx b ON a.sample_id = b.sample_id AND a.api_id = b.api_id AND a.seq_id < b.seq_id GROUP BY ALL),
 linked AS (SELECT sample_id, a, b FROM shared WHERE 10 * s >= 3 * m),
 reach AS (SELECT sample_id, a, b FROM (SELECT sample_id, a, b FROM linked UNION SELECT sample_id, b, a FROM linked) UNION SELECT r.sample_id, r.a, l.b FROM reach r JOIN (SELECT sample_id, a, b FROM linked UNION SELECT sample_id, b, a FROM linked) l ON r.sample_id = l.sample_id AND r.b = l.a),
@@ -150,7 +164,16 @@ per AS (SELECT sample_id, count(*) AS n_items FROM items GROUP BY ALL),
 p_src AS (SELECT doc_id AS sample_id, toxic AS label, n_chars FROM labels JOIN documents USING (doc_id)),
 q_src AS (SELECT sample_id, 1 - quality AS label, n_items FROM per LEFT JOIN labels ON doc_id = sample_id)
 """
-_BASE = "\n".join(x for x in _BASE.split("\n") if not x.startswith("links AS"))
+
+
+_KNN = (
+    _BASE
+    + """, rows AS (SELECT sample_id, coalesce(p.label, q.label) AS label, coalesce(n_chars, 0) AS a, coalesce(n_items, 0) AS b FROM p_src p LEFT JOIN q_src q USING (sample_id)),
+dist AS (SELECT t.sample_id, t.label, r.label AS y, sqrt((t.a - r.a) * (t.a - r.a) + (t.b - r.b) * (t.b - r.b)) AS d, row_number() OVER (PARTITION BY t.sample_id ORDER BY sqrt((t.a - r.a) * (t.a - r.a) + (t.b - r.b) * (t.b - r.b)), CAST(r.sample_id AS VARCHAR)) AS k FROM rows t, rows r WHERE t.sample_id % 5 = 0 AND r.sample_id % 5 <> 0 AND t.label IN (0, 1) AND r.label IN (0, 1)),
+three AS (SELECT *, min(d) OVER (PARTITION BY sample_id) AS least FROM dist WHERE k <= 3),
+near AS (SELECT sample_id, label, y, CASE WHEN least = 0 THEN CAST(d = 0 AS INT) ELSE 1 / d END AS w FROM three)
+"""
+)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -178,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
         "join_first": _BASE + "SELECT sample_id, coalesce(p.label, q.label) AS label, coalesce(n_chars, 0) AS n_chars, coalesce(n_items, 0) AS n_items FROM p_src p LEFT JOIN q_src q USING (sample_id)",
         "label_conflicts": _BASE + "SELECT sample_id, p.label, q.label AS label_new, 1 AS source FROM p_src p JOIN q_src q USING (sample_id) WHERE p.label <> q.label",
         "folds": _BASE + "SELECT sample_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(sample_id || '#42'), sample_id) - 1) % 10 AS INT) AS fold FROM samples WHERE label IN (0, 1)",
+        "knn_vote": _KNN + "SELECT sample_id, label, CAST(score > 0.5 AS INT) AS prediction, round(score, 9) AS score FROM (SELECT t.sample_id, t.label, coalesce(sum(w) FILTER (y = 1) / sum(w), 0) AS score FROM near t GROUP BY t.sample_id, t.label)",
         "metrics": f"SELECT round(({tp} + {tn}) / count(*), 9) AS acc, round({tp} / ({tp} + {fn}), 9) AS tpr, round({tn} / ({tn} + {fp}), 9) AS tnr, round({fp} / ({tn} + {fp}), 9) AS fpr, round({fn} / ({tp} + {fn}), 9) AS fnr, round({tp} / ({tp} + {fp}), 9) AS precision, round({tp} / ({tp} + {fn}), 9) AS recall, round(2 * {tp} / (2 * {tp} + {fp} + {fn}), 9) AS f1 FROM labels",
         "names": " UNION ALL ".join(f"SELECT {quote(n)} AS node, {quote(a)} AS seq_name, {quote(b)} AS feature_name" for n, (a, b) in zip(NODES, names, strict=True)),
         "path_labels": " UNION ALL ".join(f"SELECT {quote(p)} AS path, {a} AS any_label, {b} AS nearest_label" for p, a, b in zip(PATHS, (0, 1, 1, 1, "NULL"), (0, 1, 0, 1, "NULL"), strict=True)),
