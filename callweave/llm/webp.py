@@ -1,20 +1,28 @@
-"""Lossless WebP: a reader for whole streams and a writer with flat prefix codes.
-
-The reader takes prefix codes (simple and normal), back-references, the colour cache,
-groups of codes and the predictor, cross-colour, subtract-green and palette transforms.
-The writer gives every channel value a code of eight bits; for such streams the reader
-takes all pixels at once.
-
-Defined results: null and empty texts are a payload of 192 blanks; payloads beyond one
-image's height go on in further images; broken streams raise ``ValueError``.
+"""Lossless WebP: a reader and a writer of whole streams.
+
+Both know prefix codes (simple and normal), back-references, the colour cache, groups of
+codes and the predictor, cross-colour, subtract-green and palette transforms. A text is an
+image of 192 samples a row, one byte in the green channel of each pixel: the writer gives
+it a palette (with several pixels in one where 16 colours or fewer do), back-references
+and prefix codes by count, so that each text is decoded by these.
+
+Defined results: null and empty texts are a payload of 192 blanks; texts of any length are
+stored whole, beyond one image's height in further images; equal texts give equal bytes
+(repeated rows give their rows; of tied counts the smaller symbol comes first); an empty
+table gives no rows; rows without an id keep a null one; only id and text are read,
+whatever the other columns' names; broken streams raise ``ValueError``.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +69,16 @@ class Bits:
         return int.from_bytes(self.data[a >> 3 : (a + n + 7) >> 3], "little") >> (a & 7) & ((1 << n) - 1)
 
 
+def _canonical(lengths: Iterator[int]) -> Iterator[int]:
+    """Codes, first bit lowest, of ascending lengths."""
+    code = last = 0
+    for n in lengths:
+        code <<= n - last
+        last = n
+        yield int(f"{code:0{n}b}"[::-1], 2)
+        code += 1
+
+
 class Code:
     """Prefix code as a table over the longest code's bits."""
 
@@ -68,22 +86,15 @@ class Code:
         used = [(n, s) for s, n in enumerate(lengths) if n]
         if not used:
             raise ValueError("empty prefix code")
-        self.flat = len(used) == 256 and all(n == 8 for n, _ in used) and used[-1][1] == 255
         if len(used) == 1:
             self.width, self.table = 0, [(used[0][1], 0)]
             return
         self.width = max(n for n, _ in used)
-        self.table = [None] * (1 << self.width)
-        code = last = 0
-        for n, s in sorted(used):
-            code <<= n - last
-            last = n
-            back = int(f"{code:0{n}b}"[::-1], 2)
-            for k in range(back, 1 << self.width, 1 << n):
-                self.table[k] = (s, n)
-            code += 1
-        if code != 1 << last:
+        if sum(1 << self.width - n for n, _ in used) != 1 << self.width:
             raise ValueError("prefix code is not complete")
+        self.table = [None] * (1 << self.width)
+        for (n, s), code in zip(sorted(used), _canonical(n for n, _ in sorted(used)), strict=True):
+            self.table[code :: 1 << n] = [(s, n)] * (1 << self.width - n)
 
     def read(self, bits: Bits) -> int:
         s, n = self.table[bits.peek(self.width)]
@@ -105,39 +116,33 @@ def _read_code(bits: Bits, size: int) -> Code:
     left = size
     if bits.take(1):
         left = 2 + bits.take(2 + 2 * bits.take(3))
-    at, before = 0, 8
-    while at < size and left:
+    data, table, mask, before = bits.data, code.table, (1 << code.width) - 1, 8
+    at, acc, have = (bits.at >> 3) + 1, bits.peek(8 - (bits.at & 7)), 8 - (bits.at & 7)
+    lengths = []
+    while len(lengths) < size and left:
         left -= 1
-        s = code.read(bits)
+        if have < 16:
+            acc |= int.from_bytes(data[at : at + 8], "little") << have
+            have += 64
+            at += 8
+            if at > len(data) + 16:
+                raise ValueError("stream ends early")
+        s, k = table[acc & mask]
+        acc >>= k
+        have -= k
         if s < 16:
-            lengths[at] = s
-            at += 1
+            lengths.append(s)
             before = s or before
             continue
-        value, n = (before, 3 + bits.take(2)) if s == 16 else (0, 3 + bits.take(3)) if s == 17 else (0, 11 + bits.take(7))
-        if at + n > size:
-            raise ValueError("code lengths overrun")
-        lengths[at : at + n] = [value] * n
-        at += n
-    return Code(lengths)
-
-
-def _extra(bits: Bits, s: int) -> int:
-    if s < 4:
-        return s + 1
-    n = (s - 2) >> 1
-    return ((2 + (s & 1)) << n) + bits.take(n) + 1
-
-
-#: Length, bits and codes of the last set of five codes: streams with the very same bits have the same codes.
-_LAST: list = []
-
-
-def _known_codes(bits: Bits) -> list | None:
-    if not _LAST or bits.at + _LAST[0] > 8 * len(bits.data) or bits.span(bits.at, _LAST[0]) != _LAST[1]:
-        return None
-    bits.at += _LAST[0]
-    return _LAST[2]
+        k, n = ((2, 3), (3, 3), (7, 11))[s - 16]
+        n += acc & ((1 << k) - 1)
+        acc >>= k
+        have -= k
+        lengths += [before if s == 16 else 0] * n
+    bits.at = 8 * at - have
+    if len(lengths) > size:
+        raise ValueError("code lengths overrun")
+    return Code(lengths + [0] * (size - len(lengths)))
 
 
 def _pixels(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
@@ -152,57 +157,154 @@ def _pixels(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
         which = (_pixels(bits, gw, -(-h >> shift), False) >> 8 & 0xFFFF).tolist()
         groups = max(which) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    codes = _known_codes(bits) if groups == 1 and not cache_size else None
-    if codes is None:
-        start = bits.at
-        codes = [[_read_code(bits, n + (cache_size if i == 0 else 0)) for i, n in enumerate(ALPHABETS)] for _ in range(groups)]
-        if groups == 1 and not cache_size:
-            _LAST[:] = [bits.at - start, bits.span(start, bits.at - start), codes]
-    n = w * h
-    if groups == 1 and not cache_size and all(c.flat for c in codes[0][:4]):
-        a, end = bits.at, bits.at + 32 * n
-        if end > 8 * len(bits.data):
-            raise ValueError("stream ends early")
-        raw = np.unpackbits(np.frombuffer(bits.data, np.uint8)[a >> 3 : -(-end >> 3)], bitorder="little")[a & 7 : (a & 7) + 32 * n]
-        bits.at = end
-        g, r, b, alpha = np.packbits(raw).reshape(n, 4).astype(np.uint32).T
-        return alpha << 24 | r << 16 | g << 8 | b
-    out, cache, at, kept = [0] * n, [0] * cache_size, 0, 0
-    cs = codes[0]
-    while at < n:
-        if which is not None:
-            cs = codes[which[(at // w >> shift) * gw + (at % w >> shift)]]
-        s = cs[0].read(bits)
+    codes = [[_read_code(bits, n + (cache_size if i == 0 else 0)) for i, n in enumerate(ALPHABETS)] for _ in range(groups)]
+    n, data, end = w * h, bits.data, len(bits.data)
+    out: list[int] = []
+    cache, kept = [0] * cache_size, 0
+    at = bits.at >> 3  # bytes taken into ``acc``, which holds ``have`` bits yet
+    acc, have = data[at] >> (bits.at & 7) if at < end else 0, 8 - (bits.at & 7)
+    at += 1
+    cs = None
+    if which is None and n > 256 and not cache_size and not any(c.width for c in codes[0][1:4]) and codes[0][0].width:
+        return _one_channel(bits, codes[0], w, n)
+    while (done := len(out)) < n:
+        if which is not None or cs is None:
+            cs = codes[which[(done // w >> shift) * gw + (done % w >> shift)] if which is not None else 0]
+            (green, red, blue, alpha, far), plain = cs, 0
+            table, mask, width = green.table, (1 << green.width) - 1, green.width or 1
+            flat = not red.width | blue.width | alpha.width
+            if flat:
+                plain = alpha.table[0][0] << 24 | red.table[0][0] << 16 | blue.table[0][0]
+        if have < 64:
+            if at > end + 8:
+                raise ValueError("stream ends early")
+            acc |= int.from_bytes(data[at : at + 32], "little") << have
+            have += 256
+            at += 32
+        s, k = table[acc & mask]
+        acc >>= k
+        have -= k
         if s < 256:
-            r, b, alpha = cs[1].read(bits), cs[2].read(bits), cs[3].read(bits)
-            out[at] = alpha << 24 | r << 16 | s << 8 | b
-            at += 1
+            if flat:
+                out.append(plain | s << 8)
+                continue
+            value = s << 8
+            for code, place in ((red, 16), (blue, 0), (alpha, 24)):
+                s, k = code.table[acc & ((1 << code.width) - 1)]
+                acc >>= k
+                have -= k
+                value |= s << place
+            out.append(value)
         elif s < 280:
-            length = _extra(bits, s - 256)
-            d = _extra(bits, cs[4].read(bits))
+            k = 0 if s < 260 else (s - 258) >> 1
+            length = s - 255 if s < 260 else ((2 + (s & 1)) << k) + (acc & ((1 << k) - 1)) + 1
+            acc >>= k
+            s, used = far.table[acc & ((1 << far.width) - 1)]
+            acc >>= used
+            have -= k + used
+            k = 0 if s < 4 else (s - 2) >> 1
+            d = s + 1 if s < 4 else ((2 + (s & 1)) << k) + (acc & ((1 << k) - 1)) + 1
+            acc >>= k
+            have -= k
             if d > 120:
                 d -= 120
             else:
                 x, y = NEAR[d - 1]
                 d = max(1, x + y * w)
-            if d > at or at + length > n:
+            if d > done or done + length > n:
                 raise ValueError("back-reference leaves the image")
-            for _ in range(length):
-                out[at] = out[at - d]
-                at += 1
+            out += out[done - d : done - d + length] if d >= length else (out[done - d :] * (length // d + 1))[:length]
         else:
-            while kept < at:
+            while kept < done:
                 cache[(0x1E35A7BD * out[kept] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[kept]
                 kept += 1
-            if s - 280 >= cache_size:
-                raise ValueError("no such cache entry")
-            out[at] = cache[s - 280]
-            at += 1
-        if bits.at > 8 * len(bits.data):
-            raise ValueError("stream ends early")
+            out.append(cache[s - 280])
+    bits.at = 8 * at - have
+    if bits.at > 8 * end:
+        raise ValueError("stream ends early")
     return np.array(out, np.uint32)
 
 
+def _one_channel(bits: Bits, codes: list[Code], w: int, n: int) -> np.ndarray:
+    """Pixels that differ in green only: what a code at any bit of the stream would mean is looked up for all bits at once, in
+    stretches, and literals are picked along the chain of code ends."""
+    green, far, data = codes[0], codes[4], bits.data
+    lengths, distances, far_mask = green.table, far.table, (1 << far.width) - 1
+    table = np.array(green.table, np.int32)
+    symbol, size = table[:, 0], table[:, 1]
+    lengths, distances, far_mask = green.table, far.table, (1 << far.width) - 1
+    out, at, mask, reach = bytearray(), bits.at, (1 << green.width) - 1, 1 << 16
+    while len(out) < n:
+        base = at >> 3 << 3  # a stretch of the stream, from a whole byte
+        part = np.frombuffer(data[base >> 3 : (base + reach >> 3) + 4] + b"\0\0\0\0", np.uint8).astype(np.uint32)
+        if len(part) < 5 or at > 8 * len(data):
+            raise ValueError("stream ends early")
+        window = part[:-3] | part[1:-2] << 8 | part[2:-1] << 16
+        window = (window[:, None] >> np.arange(8, dtype=np.uint32) & mask).ravel()
+        means = symbol[window]
+        ends = np.arange(len(window)) + size[window]
+        ends[means > 255] = 0  # back-references leave the chain
+        steps, p, limit = ends.tolist(), at - base, min(len(window), reach)  # a stretch's last code may end beyond it
+        places, copies, copied, room = [], [], 0, n - len(out)
+        keep = places.append
+        while p < limit and len(places) + copied < room:
+            while p < limit and (q := steps[p]):
+                keep(p)
+                p = q
+            if p >= limit or len(places) + copied >= room:
+                break
+            q = base + p  # 50 bits hold the longest reference
+            acc = int.from_bytes(data[q >> 3 : (q >> 3) + 8], "little") >> (q & 7)
+            s, k = lengths[acc & mask]
+            acc >>= k
+            p += k
+            if s < 260:
+                length = s - 255
+            else:
+                k = (s - 258) >> 1
+                length = ((2 + (s & 1)) << k) + (acc & ((1 << k) - 1)) + 1
+                acc >>= k
+                p += k
+            s, k = distances[acc & far_mask]
+            acc >>= k
+            p += k
+            if s < 4:
+                d = s + 1
+            else:
+                k = (s - 2) >> 1
+                d = ((2 + (s & 1)) << k) + (acc & ((1 << k) - 1)) + 1
+                p += k
+            if d > 120:
+                d -= 120
+            else:
+                x, y = NEAR[d - 1]
+                d = max(1, x + y * w)
+            copies.append((len(places), length, d))
+            copied += length
+        if len(places) + copied > room:  # the image ends inside the chain
+            if copied > room:
+                raise ValueError("back-reference leaves the image")
+            first = room - copied
+            if copies and copies[-1][0] > first:
+                raise ValueError("back-reference leaves the image")
+            p = places[first]
+            del places[first:]
+        literal, done = means[places].astype(np.uint8).tobytes(), 0
+        for upto, length, d in copies:
+            out += literal[done:upto]
+            done = upto
+            if d > len(out):
+                raise ValueError("back-reference leaves the image")
+            out += out[-d : len(out) - d + length] if d >= length else (out[-d:] * (length // d + 1))[:length]
+        out += literal[done:]
+        at = base + p
+    bits.at = at
+    if at > 8 * len(data):
+        raise ValueError("stream ends early")
+    plain = codes[3].table[0][0] << 24 | codes[1].table[0][0] << 16 | codes[2].table[0][0]
+    return np.uint32(plain) | np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << np.uint32(8)
+
+
 def _bytes(v: int) -> tuple[int, int, int, int]:
     return v >> 24, v >> 16 & 255, v >> 8 & 255, v & 255
 
@@ -289,8 +391,7 @@ def _decode_one(data: bytes) -> np.ndarray:
         else:
             count = bits.take(8) + 1
             colours = _pixels(bits, count, 1, False)
-            for i in range(1, count):
-                colours[i : i + 1] = _add(colours[i : i + 1], colours[i - 1 : i])
+            colours = np.cumsum(colours.view(np.uint8).reshape(-1, 4), axis=0, dtype=np.uint8).reshape(-1).view(np.uint32)
             pack = 3 if count <= 2 else 2 if count <= 4 else 1 if count <= 16 else 0
             undo.append((kind, width, pack, colours))
             width = -(-width >> pack)
@@ -327,34 +428,302 @@ def decode(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _bit_list(*fields: tuple[int, int]) -> list[int]:
-    return [v >> i & 1 for v, n in fields for i in range(n)]
+#: A run of (value, bits) pairs.
+Fields = list[tuple[int, int]]
+
+
+def _lengths(counts: list[int], most: int) -> list[int]:
+    """Lengths, ``most`` at the most, of a prefix code by count; a single symbol has length 1."""
+    out = [0] * len(counts)
+    used = [(c, s) for s, c in enumerate(counts) if c]
+    if len(used) < 2:
+        for _, s in used:
+            out[s] = 1
+        return out
+    while True:
+        heap, parent, new = sorted(used), {}, len(counts)
+        while len(heap) > 1:
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[x] = parent[y] = new
+            heapq.heappush(heap, (a + b, new))
+            new += 1
+        depth = {new - 1: 0}
+        for x in range(new - 2, len(counts) - 1, -1):
+            depth[x] = depth[parent[x]] + 1
+        for _, s in used:
+            out[s] = depth[parent[s]] + 1
+        if max(out) <= most:
+            return out
+        used = [((c + 1) // 2 if c > 1 else 1, s) for c, s in used]
+
+
+def _codes(lengths: list[int]) -> np.ndarray:
+    """Code of each symbol, first bit lowest; a single symbol takes no bits."""
+    out = np.zeros(len(lengths), np.int64)
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) > 1:
+        for (_, s), code in zip(used, _canonical(n for n, _ in used), strict=True):
+            out[s] = code
+    return out
+
+
+def _code_fields(lengths: list[int]) -> Fields:
+    used = [s for s, n in enumerate(lengths) if n] or [0]
+    if len(used) <= 2 and used[-1] < 256:
+        wide = used[0] > 1
+        return [(1, 1), (len(used) - 1, 1), (int(wide), 1), (used[0], 8 if wide else 1), *[(s, 8) for s in used[1:]]]
+    runs, before = [], 8
+    for n, same in groupby(lengths):
+        run = len(list(same))
+        if n and n != before:
+            runs.append((n, 0, 0))
+            before, run = n, run - 1
+        while run >= 3:
+            k = min(run, 138 if not n else 6)
+            runs.append((16, k - 3, 2) if n else (18, k - 11, 7) if k >= 11 else (17, k - 3, 3))
+            run -= k
+        runs += [(n, 0, 0)] * run
+    counts = [0] * 19
+    for s, _, _ in runs:
+        counts[s] += 1
+    first = _lengths(counts, 7)
+    code, single = _codes(first), sum(map(bool, first)) == 1
+    n = max(4, 1 + max(i for i, s in enumerate(LENGTH_ORDER) if first[s]))
+    out = [(0, 1), (n - 4, 4), *[(first[s], 3) for s in LENGTH_ORDER[:n]], (0, 1)]
+    for s, extra, k in runs:
+        out += [(int(code[s]), 0 if single else first[s]), (extra, k)]
+    return out
+
+
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra value, extra bits) of lengths and distances."""
+    x = v - 1
+    high = np.frexp(np.maximum(x, 1).astype(float))[1] - 1
+    k = np.maximum(high - 1, 0)
+    small = x < 4
+    return np.where(small, x, 2 * high + (x >> k & 1)), np.where(small, 0, x & ((1 << k) - 1)), np.where(small, 0, k)
+
+
+@functools.lru_cache(maxsize=64)
+def _near(w: int) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for i, (x, y) in enumerate(NEAR, 1):
+        out.setdefault(max(1, x + y * w), i)
+    return out
+
+
+def _matches(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references, none of which overlap: at each place the last earlier like run."""
+    if int(px.max(initial=0)) < 256:  # exact: a run of ``g`` values in 64 bits
+        g, m = 8, len(px) - 7
+        key = np.ndarray((max(0, m),), "<u8", px.astype(np.uint8).tobytes() + bytes(8), strides=(1,))
+    else:
+        g, m, v = 2, len(px) - 1, px.astype(np.uint64)
+        key = v[:m] | v[1:] << np.uint64(32)
+    if m < 2:
+        return []
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    last = np.full(m, -1)
+    last[order[1:][same]] = order[:-1][same]
+    goes_on = np.append((last[1:] == last[:-1] + 1) & (last[:-1] >= 0), False)
+    breaks = np.flatnonzero(~goes_on)
+    starts = np.flatnonzero(last >= 0)
+    starts = starts[starts - last[starts] < 1_000_000]
+    size = breaks[np.searchsorted(breaks, starts)] - starts + g
+    places, out, at, k = starts.tolist(), [], 0, 0
+    far, size = (starts - last[starts]).tolist(), np.minimum(size, 4096).tolist()
+    while (k := bisect_left(places, at, k)) < len(places):
+        out.append((places[k], size[k], far[k]))
+        at = places[k] + size[k]
+    return out
+
+
+def _image(px: np.ndarray, w: int, main: bool, cache_bits: int = 0, split: int = 0) -> list:
+    """Fields (a list, or arrays of values and bits) of one coded image; ``split`` gives blocks in turn one of two groups of codes."""
+    n = len(px)
+    keys = px >> 8 & 255 if not ((px ^ px[0]) & 0xFFFF00FF).any() else px
+    found = _matches(keys) if n > 256 else []
+    start, size, far = np.array(found, np.int64).reshape(-1, 3).T
+    kind = np.zeros(n + 1, np.int64)  # 1 where a reference starts, -1 behind it
+    kind[start] = 1
+    kind[start + size] -= 1
+    place = np.flatnonzero((np.cumsum(kind[:n]) == 0) | (np.bincount(start, minlength=n) > 0))
+    copy = np.zeros(n, bool)
+    copy[start] = True
+    copy = copy[place]
+    v = px[place]
+    first = (v >> 8 & 255).astype(np.int64)
+    ls = lx = lk = ds = dx = dk = np.empty(0, np.int64)
+    if found:
+        near = _near(w)
+        code = np.array([near.get(d, d + 120) for d in far.tolist()], np.int64)
+        ls, lx, lk = _prefix(size)
+        ds, dx, dk = _prefix(code)
+        first[copy] = 256 + ls
+    cached = np.zeros(len(place), bool)
+    if cache_bits:
+        table, done = {}, 0
+        for i, p in enumerate(place.tolist()):
+            for q in range(done, p):
+                table[(0x1E35A7BD * int(px[q]) & 0xFFFFFFFF) >> (32 - cache_bits)] = int(px[q])
+            done = p
+            at = (0x1E35A7BD * int(px[p]) & 0xFFFFFFFF) >> (32 - cache_bits)
+            if not copy[i] and table.get(at) == int(px[p]):
+                first[i], cached[i] = 280 + at, True
+    plain = ~copy & ~cached
+    group = np.zeros(len(place), np.int64)
+    out: list = [[(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]]
+    if main:
+        h = n // w
+        many = split and (w > 1 << split or h > 1 << split)
+        out.append([(int(bool(many)), 1)])
+        if many:
+            gw, gh = -(-w >> split), -(-h >> split)
+            blocks = (np.arange(gw)[None, :] + np.arange(gh)[:, None]) % 2
+            group = blocks[place // w >> split, place % w >> split]
+            out.append([(split - 2, 3)])
+            out += _image((0xFF000000 | blocks.ravel() << 8).astype(np.uint32), gw, False)
+    if keys is not px and not cache_bits and not group.any():
+        # One channel: a field for each literal, four for each reference.
+        at = np.arange(len(place)) + 3 * (np.cumsum(copy) - copy)
+        value, bits = np.zeros(len(place) + 3 * len(start), np.int64), np.zeros(len(place) + 3 * len(start), np.int64)
+        rows = at[copy]
+        value[rows + 1], bits[rows + 1], value[rows + 3], bits[rows + 3] = lx, lk, dx, dk
+        rest = [np.array([px[0] >> k & 255]) for k in (16, 0, 24)]
+        for i, (where, symbols) in enumerate(((at, first), (None, rest[0]), (None, rest[1]), (None, rest[2]), (rows + 2, ds))):
+            lengths = _lengths(np.bincount(symbols, minlength=ALPHABETS[i]).tolist(), 11)
+            out.append(_code_fields(lengths))
+            if where is not None and sum(map(bool, lengths)) > 1:
+                value[where], bits[where] = _codes(lengths)[symbols], np.array(lengths)[symbols]
+        out.append((value, bits))
+        return out
+    value, bits = np.zeros((len(place), 4), np.int64), np.zeros((len(place), 4), np.int64)
+    value[copy, 1], bits[copy, 1] = lx, lk
+    value[copy, 3], bits[copy, 3] = dx, dk
+    for k in range(int(group.max(initial=0)) + 1):
+        here = group == k
+        lit = here & plain
+        rows = copy & here
+        symbols = [(here, 0, first[here]), (lit, 1, (v[lit] >> 16 & 255).astype(np.int64)), (lit, 2, (v[lit] & 255).astype(np.int64)), (lit, 3, (v[lit] >> 24).astype(np.int64))]
+        symbols.append((rows, 2, ds[rows[copy]]))
+        for i, (at, column, s) in enumerate(symbols):
+            alphabet = ALPHABETS[i] + ((1 << cache_bits) if cache_bits and not i else 0)
+            counts = np.bincount(s, minlength=alphabet)
+            lengths = _lengths(counts.tolist(), 11 if np.count_nonzero(counts) <= 512 else 15)
+            out.append(_code_fields(lengths))
+            if np.count_nonzero(counts) > 1:
+                value[at, column], bits[at, column] = _codes(lengths)[s], np.array(lengths)[s]
+    out.append((value.ravel(), bits.ravel()))
+    return out
+
+
+def _pack(parts: list) -> bytes:
+    parts = [np.array(p, np.int64).reshape(-1, 2).T if isinstance(p, list) else p for p in parts]
+    values, bits = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    values, bits = values[bits > 0], bits[bits > 0]
+    out = []
+    for lo in range(0, len(values), 1 << 16):
+        v, n = values[lo : lo + (1 << 16)], bits[lo : lo + (1 << 16)]
+        place = np.arange(n.max(), dtype=np.uint32)
+        out.append((v.astype(np.uint32)[:, None] >> place & 1).astype(np.uint8)[place < n[:, None]])
+    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
 
 
-def _flat_codes() -> list[int]:
-    head = _bit_list((0, 1), (8, 4), *[(int(s in (8, 18)), 3) for s in LENGTH_ORDER[:12]], (0, 1))
-    full = [0] * 256
-    return head + full + _bit_list((1, 1), (13, 7)) + 3 * (head + full) + _bit_list((1, 1), (0, 1), (0, 1), (0, 1))
+def _take(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Difference of each channel."""
+    return ((a | 0x00FF00FF) - (b & 0xFF00FF00) & 0xFF00FF00) | ((a | 0xFF00FF00) - (b & 0x00FF00FF) & 0x00FF00FF)
 
 
-_FLAT = _flat_codes()
+def _predicted(px: np.ndarray, w: int, h: int, bits: int, modes: np.ndarray) -> np.ndarray:
+    v, mw, out = px.tolist(), -(-w >> bits), []
+    for at in range(w * h):
+        x, y = at % w, at // w
+        if y == 0:
+            guess = (255, 0, 0, 0) if x == 0 else _bytes(v[at - 1])
+        elif x == 0:
+            guess = _bytes(v[at - w])
+        else:
+            guess = _guess(int(modes[(y >> bits) * mw + (x >> bits)]), v[at - 1], v[at - w], v[at - w - 1], v[at - w + 1])
+        a, r, g, b = ((p - q) & 255 for p, q in zip(_bytes(v[at]), guess, strict=True))
+        out.append(a << 24 | r << 16 | g << 8 | b)
+    return np.array(out, np.uint32)
+
 
+def encode(rgba: np.ndarray, palette: bool = True, predict: int = 0, cross: tuple[int, int, int] | None = None, green: bool = False, cache: int = 0, split: int = 0) -> bytes:
+    """One image of shape (height, width, 4).
 
-def encode(rgba: np.ndarray) -> bytes:
-    """One image of shape (height, width, 4)."""
+    ``palette`` is used where 256 colours do; else ``predict`` (bits of a block; blocks take the 14 modes in turn), ``cross`` (three
+    factors in one of 32) and ``green`` (subtract it) are transforms to apply, ``cache`` the bits of the colour cache, ``split`` those
+    of a block of two groups of codes.
+    """
     h, w, _ = rgba.shape
-    head = _bit_list((0x2F, 8), (w - 1, 14), (h - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)) + _FLAT
-    body = np.packbits(np.concatenate([np.array(head, np.uint8), np.unpackbits(np.ascontiguousarray(rgba[..., [1, 0, 2, 3]]).ravel())]), bitorder="little").tobytes()
+    r, g, b, a = rgba.astype(np.uint32).reshape(-1, 4).T
+    px = a << 24 | r << 16 | g << 8 | b
+    parts: list = [[(0x2F, 8), (w - 1, 14), (h - 1, 14), (1, 1), (0, 3)]]
+    colours = px[:0]
+    if palette:  # one channel alone is counted without sorting
+        single = not ((px ^ px[0]) & 0xFFFF00FF).any()
+        if single:
+            levels = np.flatnonzero(np.bincount(px >> 8 & 255))
+            if len(levels) <= 16:  # beyond, a palette packs nothing and one channel has short codes without it
+                colours = (px[0] & 0xFFFF00FF | levels << 8).astype(np.uint32)
+        else:
+            colours = np.unique(px)
+    width = w
+    if 0 < len(colours) <= 256:
+        parts.append([(1, 1), (3, 2), (len(colours) - 1, 8)])
+        parts += _image(np.append(colours[:1], _take(colours[1:], colours[:-1])), len(colours), False)
+        pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        width = -(-w >> pack)
+        index = np.zeros((h, width << pack), np.uint32)
+        index[:, :w] = np.searchsorted(colours, px).reshape(h, w)
+        shifts = (np.arange(1 << pack) * (8 >> pack)).astype(np.uint32)
+        packed = (index.reshape(h, width, 1 << pack) << shifts).sum(axis=2, dtype=np.uint32) if pack else index
+        px = (0xFF000000 | packed << np.uint32(8)).ravel()
+    else:
+        if predict:
+            modes = np.arange((-(-w >> predict)) * (-(-h >> predict))) % 14
+            parts.append([(1, 1), (0, 2), (predict - 2, 3)])
+            parts += _image((0xFF000000 | modes << 8).astype(np.uint32), -(-w >> predict), False)
+            px = _predicted(px, w, h, predict, modes)
+        if cross:
+            factors = [x & 255 for x in cross]
+            bits = 9
+            blocks = (-(-w >> bits)) * (-(-h >> bits))
+            parts.append([(1, 1), (1, 2), (bits - 2, 3)])
+            parts += _image(np.full(blocks, 0xFF000000 | factors[2] << 16 | factors[1] << 8 | factors[0], np.uint32), -(-w >> bits), False)
+            gs, rs = _signed(px >> 8), _signed(px >> 16)
+            f = [_signed(np.array(x)) for x in factors]
+            red = (px >> 16).astype(np.int64) - (f[0] * gs >> 5) & 255
+            blue = px.astype(np.int64) - (f[1] * gs >> 5) - (f[2] * rs >> 5) & 255
+            px = (px & 0xFF00FF00) | (red.astype(np.uint32) << 16) | blue.astype(np.uint32)
+        if green:
+            parts.append([(1, 1), (2, 2)])
+            low = px >> 8 & 255
+            px = _take(px, low << 16 | low)
+    parts.append([(0, 1)])
+    parts += _image(px, width, True, cache, split)
+    body = _pack(parts)
     pad = b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
 
 
 def store(text: str | None) -> tuple[int, bytes]:
-    """(bytes of the text, images that hold it, padded by blanks)."""
+    """(bytes of the text, images that hold it, padded by blanks, in their green channel)."""
     raw = (text or "").encode()
-    payload = raw + b" " * (-len(raw) % ROW if raw else ROW)
-    px = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 4, 4)
-    return len(raw), b"".join(encode(px[lo : lo + SIDE]) for lo in range(0, len(px), SIDE))
+    payload = np.frombuffer(raw + b" " * (-len(raw) % ROW if raw else ROW), np.uint8).reshape(-1, ROW)
+    out = []
+    for lo in range(0, len(payload), SIDE):
+        part = payload[lo : lo + SIDE]
+        rgba = np.zeros((*part.shape, 4), np.uint8)
+        rgba[..., 1], rgba[..., 3] = part, 255
+        out.append(encode(rgba))
+    return len(raw), b"".join(out)
+
+
+def payload_of(images: list[np.ndarray]) -> bytes:
+    return b"".join(np.ascontiguousarray(i[..., 1]).tobytes() for i in images)
 
 
 def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,7 +740,7 @@ def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def features(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """Add ``px``: payload length, digests, size of the images and the mean of each channel, all from decoded pixels."""
+    """Add ``px``: payload length, digests, size of the images, mean and number of values, all from decoded pixels."""
 
     @F.arrow_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
     def look(values: pa.Array) -> pa.Array:
@@ -379,10 +748,11 @@ def features(df: DataFrame, media_col: str = "media") -> DataFrame:
         for v in values:
             data = v.as_py()
             images = decode(data)
-            payload = b"".join(i.tobytes() for i in images)
-            means = sum(i.reshape(-1, 4).sum(axis=0, dtype=np.int64) for i in images) * 1000 // (len(payload) // 4)
+            payload = payload_of(images)
+            counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
             shape = f"{images[0].shape[1]}x{sum(i.shape[0] for i in images)}"
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), hashlib.sha256(data).hexdigest(), f"{shape}:" + ",".join(map(str, means))))
+            mean = int((counts * np.arange(256)).sum()) * 1000 // len(payload)
+            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), hashlib.sha256(data).hexdigest(), f"{shape}:{mean}:{np.count_nonzero(counts)}"))
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
