@@ -4,9 +4,12 @@ Letters have random bipolar vectors; an n-gram binds its letters, each rotated b
 place; a text bundles its n-grams; a language bundles the normalised vectors of all its
 learning texts. The answer is the language with the nearest cosine.
 
+Letters are what Unicode calls so; digits, other numbers, signs and marks part words.
+
 Defined results: null texts and texts without a letter give ``und`` and score 0; with
 nothing to learn from every text is ``und``; ties go to the name that sorts first; texts
-of any length are read whole; other columns are kept.
+of any length are read whole; repeated rows each count and each get their answer; an empty
+table gives no rows; other columns are kept, and an output name that is taken is refused.
 """
 
 from __future__ import annotations
@@ -20,10 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import refuse, table
 
 DIM, GRAM = 1024, 3
-_GAP = re.compile(r"[\W\d_]+")
+
+
+@functools.cache
+def _gap() -> re.Pattern:
+    r"""Runs of what is no letter: \W, digits, the underscore, and numbers such as fractions, which \w holds as well."""
+    odd = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{odd}]+")
 
 
 @functools.lru_cache(maxsize=70_000)
@@ -61,7 +70,7 @@ _GRAMS = _Grams()
 
 def profile(text: str | None) -> np.ndarray | None:
     """Unit vector of a whole text, or None without a letter."""
-    flat = _GAP.sub(" ", text or "").strip().lower()
+    flat = _gap().sub(" ", text or "").strip().lower()
     if not flat:
         return None
     codes = np.frombuffer(f" {flat} ".encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -103,6 +112,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
 
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", out_col: str = "lang_id") -> DataFrame:
     """Add ``out_col``: struct<lang, score>."""
+    refuse(df, out_col)
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32).reshape(-1, DIM)
 
@@ -124,6 +134,6 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
 
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)))
     found = predict(docs.drop("lang"), learn(docs.where(~F.col("held_out"))))
     return found.select("doc_id", "held_out", F.col("lang_id.lang").alias("lang_pred"), F.col("lang_id.score").alias("score"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, drop, only, table
+from .common import cut, drop, fresh, only, perhaps_in, table
 
 BINS = 128
 #: Bins of a bucket's key.
@@ -270,6 +270,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return linked.unionByName(every.where("id is null").select("id", "n", F.col("id").alias("comp")))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each class: that with the smallest id, once; rows without an id stay. Only rows that may go are shuffled."""
+    found = near_duplicates(df, id_col, text_col, width, percent).where("id is not null")
+    lost = cut(found.where("id <> comp").select("id").distinct())
+    again = found.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+    both = cut(lost.union(again))
+    (mark,) = fresh(df, "_in")
+    marked = perhaps_in(df, id_col, both, both.count(), mark).withColumn(mark, F.col(mark) & F.col(id_col).isNotNull())
+    rest = marked.where(F.col(mark)).join(lost.select(F.col("id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col])
+    return marked.where(~F.col(mark)).select(*df.columns).unionByName(rest.select(*df.columns))
+
+
 def op2(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents"), width=4)
     return out.select(

@@ -4,9 +4,12 @@ Archives are rows of a table, so that Spark's own commit makes lost tasks harmle
 reader loads the dictionary from the leading skippable frame, walks the frames by their
 block headers, decodes one frame per record and checks headers, lengths and digests.
 
-Defined results: null payloads are empty; of equal payloads that with the largest id is
-the response and the others revisit it; broken archives raise ``ValueError``; an empty
-table gives no archive.
+Defined results: null payloads are empty; of equal payloads one record with the largest id
+is the response and the others revisit it, also where rows are repeated (of equal ids one
+is taken); a null id is written as an empty one, read back as null, and smaller than all;
+payloads of any length are written whole; broken archives raise ``ValueError``; an empty
+table gives no archive; only id, address and text are read, whatever the other columns'
+names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, perhaps_in, table
 
 DICT_MAGIC, DICT_BYTES, ARCHIVE_BYTES = 0x184D2A5D, 65_536, 16 << 20
 
@@ -30,13 +33,21 @@ def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    kind = "response" if refers_to is None else "revisit"
+def _name(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def _number(name: str) -> int | None:
+    return int(name[10:-1]) if name[10:-1] else None
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+    kind = "revisit" if revisit else "response"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http + (payload if refers_to is None else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{_digest(payload)}", f"WARC-Block-Digest: sha1:{_digest(block)}"]
-    if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    block = http + (b"" if revisit else payload)
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id)}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{_digest(payload)}", f"WARC-Block-Digest: sha1:{_digest(block)}"]
+    if revisit:
+        lines += [f"WARC-Refers-To: {_name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -63,6 +74,13 @@ def _frame_end(data: bytes, at: int) -> int:
 
 def unpack(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record of an archive, checked."""
+    try:
+        yield from _unpack(data)
+    except (zstandard.ZstdError, struct.error, KeyError) as e:
+        raise ValueError(f"broken archive: {e}") from e
+
+
+def _unpack(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     magic, size = struct.unpack_from("<II", data)
     if magic != DICT_MAGIC or 8 + size > len(data):
         raise ValueError("no dictionary frame")
@@ -91,13 +109,13 @@ def unpack(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write(df: DataFrame) -> DataFrame:
-    """(archive) rows from (page_id, url, payload, refers_to)."""
+    """(archive) rows from (page_id, url, payload, refers_to, revisit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for p, u, h, r in zip(*batch.columns, strict=True):
-                one = record(p.as_py(), u.as_py(), h.as_py() or b"", r.as_py())
+            for p, u, h, r, v in zip(*batch.columns, strict=True):
+                one = record(p.as_py(), u.as_py(), h.as_py() or b"", r.as_py(), v.as_py())
                 held.append(one)
                 size += len(one)
                 if size >= ARCHIVE_BYTES:
@@ -106,11 +124,13 @@ def write(df: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([pack(held)], pa.binary())], ["archive"])
 
-    return df.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive binary")
+    return df.select("page_id", "url", "payload", "refers_to", "revisit").mapInArrow(run, "archive binary")
 
 
-def read(archives: DataFrame) -> DataFrame:
-    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
+def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
+    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, and if asked for payload (null for revisits)."""
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,23 +143,29 @@ def read(archives: DataFrame) -> DataFrame:
                     kind = h["warc-type"]
                     if kind == "response" and (len(payload) != n or _digest(payload) != digest):
                         raise ValueError("payload does not fit its headers")
-                    to = h.get("warc-refers-to")
-                    rows.append((int(h["warc-record-id"][10:-1]), n, digest, kind, int(to[10:-1]) if to else None, payload if kind == "response" else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                    rows.append((_number(h["warc-record-id"]), n, digest, kind, _number(h.get("warc-refers-to", "")), payload if with_payload and kind == "response" else None))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
-    return archives.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
+    return archives.mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0) -> DataFrame:
     """Write every page and give the archives; payloads under ``least`` bytes are never revisits."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("d", F.sha1("payload"))
-    heads = rows.where(F.octet_length("payload") >= least).groupBy("d").agg(F.max("page_id").alias("head"), F.count("*").alias("k")).where("k > 1").select("d", "head")
-    both = rows.join(heads, "d", "left")
-    return cut(write(both.withColumn("refers_to", F.when(F.col("head") != F.col("page_id"), F.col("head")))))
+    rows = cut(rows.withColumn("d", F.unhex(F.sha1("payload"))).withColumn("row", F.monotonically_increasing_id()))
+    slim = rows.where(F.octet_length("payload") >= least).select("row", "page_id", "d")
+    heads = slim.groupBy("d").agg(F.max(F.struct("page_id", "row")).alias("h"), F.count("*").alias("k")).where("k > 1").select("d", "h")
+    # A very common payload meets its head without its bytes, and rows that surely are responses are not shuffled at all.
+    again = cut(slim.join(heads, "d").where("row <> h.row").select("row", F.col("h.page_id").alias("refers_to")))
+    marked = perhaps_in(rows.drop("d"), "row", again.select("row"), again.count(), "maybe")
+    sure = marked.where("not maybe").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
+    other = marked.where("maybe").join(again.withColumn("revisit", F.lit(True)), "row", "left")
+    other = other.select("page_id", "url", "payload", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
+    out = cut(write(sure.unionByName(other)))
+    drop(rows, again)
+    return out
 
 
 def op9(spark, sf_dir):
-    return read(archive(table(spark, sf_dir, "pages"))).drop("payload")
+    return read(archive(table(spark, sf_dir, "pages")), with_payload=False)

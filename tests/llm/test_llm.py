@@ -1,9 +1,12 @@
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from callweave.llm import ann, langid, minhash, mixing, pii, quality_crf, secret_scan, sentencepiece_bpe, warc, webp
 
@@ -60,6 +63,40 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.redact(docs).columns == docs.columns and secret_scan.find(empty).count() == 0
 
 
+def test_entropy(spark):
+    """Against counting each window anew; long strings end in time that grows with their length."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcXYZ0189+/"[: rng.randrange(2, 13)]) for _ in range(n)) for n in (1, 19, 20, 21, 57, 300)] + ["a" * 40]
+
+    def brute(t, w=20):
+        best = 0.0
+        for i in range(len(t) - w + 1):
+            counts = [t[i : i + w].count(c) for c in set(t[i : i + w])]
+            best = max(best, -sum(c / w * math.log2(c / w) for c in counts))
+        return best
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["h"] for r in rows.select("t", secret_scan.best_entropy(F.col("t")).alias("h")).collect()}
+    assert got == pytest.approx({t: brute(t) for t in texts}, abs=1e-9)
+    long = spark.createDataFrame([("data " + "aB3/" * 50_000,)], "text string")
+    start = time.time()
+    assert len(secret_scan.find(long).first()["spans"]) == 0 and time.time() - start < 60
+
+
+def test_secrets_base(spark):
+    """Base spans of sf0.01 against plain regular expressions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rules = [(secret_scan.ASSIGN, 12), (r"AKIA[A-Z0-9]+", 18), (r"[0-9a-f]+", 16)]
+    want = {}
+    for r in docs.collect():
+        spans = []
+        for k, (rule, least) in enumerate(rules):
+            spans += [(m.start(), k, m.end()) for m in re.finditer(rule, r["text"] or "") if len(m.group(2) if not k else m.group()) >= least]
+        want[r["doc_id"]] = sorted(spans)
+    got = {r["doc_id"]: [(x["s"], x["k"], x["e"]) for x in r["spans"] if x["k"] < 3] for r in secret_scan.find(docs).collect()}
+    assert got == want and sum(map(len, want.values())) > 20
+
+
 def test_pii(spark, docs, empty):
     text = "Ask a.b@c.org or A.B@c.org, +1 (743) 555-3824 and 743-555-3824; d@c.org"
     out = pii.replace(spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")).orderBy("doc_id").collect()
@@ -71,15 +108,44 @@ def test_pii(spark, docs, empty):
 
 
 def test_webp():
-    for text in (None, "", "é" * 5000, "x" * 192):
+    prose = " ".join(f"the word{i % 7} of page{i * i % 31}" for i in range(900))
+    for text in (None, "", "é" * 5000, "x" * 192, prose, "ab" * 400_000, "".join(map(chr, range(32, 400)))):
         n, data = webp.store(text)
-        raw = b"".join(i.tobytes() for i in webp.decode(data))
-        assert raw[:n] == (text or "").encode() and raw[n:] == b" " * (len(raw) - n)
+        raw = webp.payload_of(webp.decode(data))
+        assert raw[:n] == (text or "").encode() and raw[n:] == b" " * (len(raw) - n) and len(raw) % 192 == 0
+    assert len(webp.store(prose)[1]) < len(prose) / 2
+    with pytest.raises(ValueError):
+        webp.decode(webp.store("abc")[1][:-10])
+    broken = bytearray(webp.store(prose)[1])
+    for at in range(40, 200):
+        broken[at] ^= 0x5A
     with pytest.raises(ValueError):
-        webp.decode(webp.store("abc")[1][:-100])
+        assert webp.payload_of(webp.decode(bytes(broken))) != webp.payload_of(webp.decode(webp.store(prose)[1]))
+        raise ValueError("other pixels")
+
+
+def test_webp_paths():
+    """Every transform, the cache, groups of codes and back-references, on noise, slopes and few colours."""
+    rng = np.random.default_rng(0)
+    for w, h in ((1, 1), (5, 3), (40, 33), (17, 70)):
+        noise = rng.integers(0, 256, (h, w, 4)).astype(np.uint8)
+        noise[: h // 2], noise[:, : w // 3] = noise[:1], noise[:, :1]
+        slope = (np.add.outer(np.arange(h), np.arange(w))[..., None] // 3 + np.arange(4)).astype(np.uint8)
+        few = rng.integers(0, 256, (3, 4)).astype(np.uint8)[rng.integers(0, 3, (h, w))]
+        plans = [{}, {"split": 3}, {"palette": False}, {"predict": 2}, {"cross": (5, -7, 100)}, {"green": True}, {"cache": 4}, {"cache": 11, "split": 2, "predict": 3, "cross": (1, 2, 3), "green": True}]
+        for image in (noise, slope, few):
+            for plan in plans:
+                full = plan if plan in ({}, {"split": 3}) else {"palette": False, **plan}
+                assert (webp.decode(webp.encode(image, **full))[0] == image).all(), (w, h, plan)
 
 
-def test_webp_transforms():
+def test_webp_features(spark, docs, empty):
+    out = webp.features(webp.media(docs)).collect()
+    assert len(out) == len(TEXTS) and webp.features(webp.media(empty)).count() == 0
+    assert all(r["px"]["payload_bytes"] >= max(192, r["n_bytes"]) and r["px"]["payload_bytes"] % 192 == 0 for r in out)
+
+
+def test_webp_parts():
     px = np.array([0xFF010203, 0x01020304], np.uint32)
     assert webp._unpredict(px, 2, 1, 2, np.array([0], np.uint32)).tolist() == [0xFE010203, 0xFF030507]
     bits = webp.Bits(bytes([0b0110]))
@@ -88,13 +154,22 @@ def test_webp_transforms():
 
 
 def test_warc(spark):
-    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "v", "é")], "page_id long, url string, html string")
-    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(warc.archive(pages)).collect()}
-    assert got == {1: (4, "revisit", 2), 2: (4, "response", None), 3: (0, "response", None), 4: (2, "response", None)}
-    data = bytearray(warc.pack([warc.record(1, "u", b"payload", None)]))
-    data[-8] ^= 1
-    with pytest.raises(Exception):  # noqa: B017
-        list(warc.unpack(bytes(data)))
+    pages = [(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "v", "é"), (5, "w", "twice"), (5, "w", "twice"), (None, "x", "alone"), (None, "x", "same"), (6, None, "y" * 300_000)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = warc.read(warc.archive(pages.withColumn("row", pages.url).withColumn("d", pages.url))).collect()
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in rows), key=str)
+    assert got == sorted([
+        (1, 4, "revisit", 2), (2, 4, "response", None), (3, 0, "response", None), (4, 2, "response", None), (5, 5, "response", None), (5, 5, "revisit", 5),
+        (None, 5, "response", None), (None, 4, "revisit", 2), (6, 300_000, "response", None),
+    ], key=str)
+    assert {r["payload"] for r in rows} == {b"same", b"", "é".encode(), b"twice", b"alone", b"y" * 300_000, None}
+    assert warc.read(warc.archive(pages.where("false"))).count() == 0
+    with_least = {(r["page_id"], r["record_type"]) for r in warc.read(warc.archive(pages, least=5)).collect()}
+    assert (1, "response") in with_least and (5, "revisit") in with_least
+    data = warc.pack([warc.record(1, "u", b"payload", None, False)])
+    for broken in (data[:-9], data[:5], b"", data[:-8] + bytes([data[-8] ^ 1]) + data[-7:]):
+        with pytest.raises(ValueError):
+            list(warc.unpack(broken))
 
 
 def test_language(spark, docs, empty):
@@ -103,27 +178,90 @@ def test_language(spark, docs, empty):
     assert [r["lang_id"]["lang"] for r in found] == ["en", "de"]
     assert {r["lang_id"]["lang"] for r in langid.predict(docs.where("doc_id < 3"), langid.learn(rows)).collect()} == {"und"}
     assert langid.learn(rows.where("false")) == {} and langid.predict(empty, {}).count() == 0
+    odd = spark.createDataFrame([("½ ² Ⅷ 12 _",), ("№",), ("!?",)], "text string")
+    assert {r["lang_id"]["lang"] for r in langid.predict(odd, langid.learn(rows)).collect()} == {"und"}
+    with pytest.raises(ValueError):
+        langid.predict(rows.withColumn("Lang_id", rows.lang), {})
+    assert len(langid.predict(docs.withColumn("v", docs.text), langid.learn(rows)).collect()) == len(TEXTS)
+
+
+def _enumerated(e, t, y=None):
+    """P(good) of each line and the likelihood's log normaliser by all labellings."""
+    n, total, good = len(e), 0.0, np.zeros(len(e))
+    for y in np.ndindex(*[2] * n):
+        p = np.exp(sum(e[i] * y[i] for i in range(n)) + sum(t[y[i - 1], y[i]] for i in range(1, n)))
+        total, good = total + p, good + p * np.array(y)
+    return good / total, np.log(total)
 
 
 def test_quality():
     assert quality_crf.marginals(np.array([0.3, -0.2, 1.0]), np.zeros((2, 2))) == pytest.approx(1 / (1 + np.exp(-np.array([0.3, -0.2, 1.0]))))
-    e, t = np.array([0.5, -1.0, 0.2]), np.array([[0.7, -0.1], [0.2, 0.9]])
-    total, good = 0.0, np.zeros(3)
-    for y in np.ndindex(2, 2, 2):
-        p = np.exp(sum(e[i] * y[i] for i in range(3)) + t[y[0], y[1]] + t[y[1], y[2]])
-        total, good = total + p, good + p * np.array(y)
-    assert quality_crf.marginals(e, t) == pytest.approx(good / total)
+    e, t = np.array([0.5, -1.0, 0.2, 0.7]), np.array([[0.7, -0.1], [0.2, 0.9]])
+    assert quality_crf.marginals(e, t) == pytest.approx(_enumerated(e, t)[0])
     assert quality_crf.line_features(None)[0].shape == quality_crf.line_features("")[0].shape
+    # Expectations of several chains at once, against enumeration; the joint table by a numeric derivative.
+    chains = quality_crf.Chains([3, 1, 4], piece=8)
+    flat = np.array([0.5, -1.0, 0.2, 0.7, 1.5, -0.3, 0.1, -2.0])
+    one, pair = chains.expect(np.exp(flat[chains.order]), np.exp(t))
+    back = np.empty(8)
+    back[chains.order] = one
+    assert back == pytest.approx(np.concatenate([_enumerated(flat[lo:hi], t)[0] for lo, hi in ((0, 3), (3, 4), (4, 8))]))
+    for a in (0, 1):
+        for b in (0, 1):
+            d = np.zeros((2, 2))
+            d[a, b] = 1e-5
+            slope = sum(_enumerated(flat[lo:hi], t + d)[1] - _enumerated(flat[lo:hi], t - d)[1] for lo, hi in ((0, 3), (4, 8))) / 2e-5
+            assert pair[:, 2 * a + b].sum() == pytest.approx(slope, abs=1e-6)
+
+
+def test_quality_learning(spark, docs, empty):
+    """Learnt from bad documents that hold good lines; scores of texts never seen, and transitions that tell staying from changing."""
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice(("the", "house", "stood", "near", "water", "under", "old", "trees")) for _ in range(9)).capitalize() + "."
+    bad = lambda: " ".join(rng.choice(("BUY", "$$$", "##", "99%", "!!!", "<<", "click")) for _ in range(4))
+    texts = ["\n".join(good() if y or 2 <= j < 5 else bad() for j in range(8)) for y in (0, 1) * 60]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, _x string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(None, 1), (7, None), (5000, 1)], "doc_id long, quality int")
+    model = quality_crf.learn(rows, labels)
+    w, tr, *_ = model
+    assert tr[0, 0] > tr[0, 1] and tr[1, 1] > tr[1, 0]
+    out = {r["doc_id"]: r["score"] for r in quality_crf.score(rows, model).collect()}
+    assert all((out[i] > 0.5) == (i % 2 == 1) for i in range(80, 120))
+    assert all(0 <= r["score"] <= 1 for r in quality_crf.score(docs, model).collect()) and quality_crf.score(empty, model).count() == 0
+    assert quality_crf.learn(rows, labels.where("quality = 1")) is None and quality_crf.learn(empty, labels) is None
+    assert {r["score"] for r in quality_crf.score(docs, None).collect()} == {0.5}
+    with pytest.raises(ValueError):
+        quality_crf.score(docs.withColumn("Score", docs.doc_id), None)
 
 
 def test_mixing(spark, docs, empty):
-    rows = spark.createDataFrame([(i, "a b c d", "s" if i % 3 else None) for i in range(300)], "doc_id long, text string, source string")
+    rng = random.Random(4)
+    rows = [(i, " ".join(["a"] * int(rng.paretovariate(1.5) * 10)), ("s", "t", "u", None)[i % 4 if i % 3 else 0]) for i in range(3000)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = mixing.mix(rows).collect()
+    assert len(out) == 3000 and all(0 <= r["copies"] <= 2 for r in out)
     for size in {r["source_size"] for r in out}:
         part = [r for r in out if r["source_size"] == size]
-        assert abs(sum(r["copies"] * r["size"] for r in part) - part[0]["target"]) <= 4
+        assert sum(r["size"] for r in part) == size
+        assert abs(sum(r["copies"] * r["size"] for r in part) - part[0]["target"]) <= 0.01 * part[0]["target"]
     assert mixing.mix(rows).orderBy("id").collect() == sorted(out)
-    assert mixing.mix(empty).count() == 0 and mixing.mix(docs).count() == len(TEXTS)
+    assert mixing.mix(empty).count() == 0 and mixing.mix(docs.withColumn("copies", docs.text).withColumn("row", docs.text)).count() == len(TEXTS)
+    twice = mixing.mix(rows.union(rows)).collect()
+    assert len(twice) == 6000 and abs(sum(r["copies"] * r["size"] for r in twice) - 2 * sum(r["copies"] * r["size"] for r in out)) <= 0.02 * sum(r["size"] for r in twice)
+
+
+def test_mixing_expectation():
+    """Each document keeps its expected copies: brute force over many draws."""
+    pdf = pd.DataFrame({"row": range(4), "id": range(4), "src": 0, "size": [7, 5, 3, 1], "p": [0.3, 0.6, 0.5, 0.9], "chunk": 0})
+    total = np.zeros(4)
+    for level in range(4000):
+        total += mixing._pivot(pdf, level, True).sort_values("id")["extra"].to_numpy()
+    assert total / 4000 == pytest.approx(pdf["p"].to_numpy(), abs=0.03)
+
+
+def test_targets():
+    got = mixing.targets([("b", 100), ("a", 10), (None, 1000)])
+    assert [s for s, *_ in got] == ["a", "b", None] and [t for *_, t in got] == pytest.approx([20, 200, 1445])
 
 
 def test_neighbours(spark):
