@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages, each on all that the one before kept."""
+"""A corpus pipeline of five stages, each on all that the one before kept.
+
+Defined results: null and empty texts go in the first stage, which has no language for
+them; a null source is a source; rows without an id stay as they are; of repeated rows
+one stays; texts of any length pass whole; ties are those of the operators; an empty table
+gives an empty result; columns beyond those of documents are kept up to the last stage,
+whatever their names, and change nothing.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import langid, minhash, mixing, secret_scan, sentencepiece_bpe
-from callweave.llm.common import shared_dir, table
+from callweave.llm.common import fresh, shared_dir, table
 
 
 #: Clean labelled texts of fewer letters come down to a cosine of 0.1, as do texts of other languages: they say too little.
@@ -19,15 +26,15 @@ COSINE, LETTERS = 0.2, 60
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; learnt from the labelled ones. Undetermined texts go, and those far from all languages."""
-    found = langid.predict(docs, langid.learn(docs), out_col="_lang_id")
-    near = (F.col("_lang_id.score") >= COSINE) | (F.regexp_count("text", F.lit(r"\p{L}")) < LETTERS)
-    return found.where((F.col("_lang_id.lang") != "und") & near).drop("_lang_id")
+    (mark,) = fresh(docs, "_lang_id")
+    found = langid.predict(docs, langid.learn(docs), out_col=mark)
+    near = (F.col(f"{mark}.score") >= COSINE) | (F.regexp_count("text", F.lit(r"\p{L}")) < LETTERS)
+    return found.where((F.col(f"{mark}.lang") != "und") & near).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that with the smallest id."""
-    heads = minhash.near_duplicates(docs).where("id = comp").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(heads, "doc_id", "left_semi")
+    return minhash.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +44,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("id").alias("doc_id"), "copies")
-    return docs.join(copies, "doc_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixing.take(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
