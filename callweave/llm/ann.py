@@ -1,15 +1,18 @@
 """Nearest neighbours: a forest of random-projection trees and exact reranking.
 
 Trees are built on a bounded sample (``SAMPLE`` vectors by hash); every row is then
-routed to one leaf of each tree. A query takes the leaves of all trees by nearest
-margin, until they hold ``SHARE`` of the sample and ``SEARCH`` of its vectors at least
-(or are all there are). All rows of those leaves are candidates and are ranked by their
-exact distance. Queries come in blocks of bounded size, so what is sent to the executors
-is bounded.
-
-Defined results: vectors that are null, zero, of another length than most of the sample,
-or hold null or non-finite components take no part; ties go to the smaller id; with fewer
-candidates than asked for, all of them return; an empty table gives no rows.
+routed to one leaf of each tree. A query takes the leaves of all trees from one queue, by
+nearest margin, until they hold ``SHARE`` of the sample and ``SEARCH`` of its vectors at
+least (or are all there are). All rows of those leaves are candidates and are ranked by
+their exact distance. Queries come in blocks of bounded size; a block's leaves are looked
+up on the executors, its broadcast is taken back and its answers are written before the
+next one starts, so the driver holds one block. Each block scans the table once.
+
+Defined results: vectors that are null, zero, of another length than most of the table,
+or hold null or non-finite components take no part, nor do rows without an id; of an id
+with several rows the smallest vector counts; ties go to the smaller id; with fewer
+candidates than asked for, all of them return; an empty table gives no rows; only id and
+vector are read, whatever the other columns' names.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut, drop
+
 TREES, LEAF, SAMPLE, SEARCH, SHARE, BLOCK = 16, 32, 20_000, 3_000, 0.6, 4_000
 
 
@@ -118,27 +123,40 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int
     if dims is None:
         return spark.createDataFrame([], schema)
     rows, asked = rows.where(F.size("v") == dims["n"]), asked.where(F.size("v") == dims["n"])
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     # Of equal vectors only the k + 1 smallest ids can be in an answer; the hot ones are cut in two steps.
     mark = F.array(F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))
     slim = rows.select("id", mark.alias("m"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
     for keys in (["m", "salt"], ["m"]):
         by = Window.partitionBy(*keys).orderBy("id")
         slim = slim.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).drop("r")
-    rows = rows.join(slim.select("id"), "id", "left_semi")
+    rows = cut(rows.join(slim.select("id"), "id", "left_semi"))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     forest = spark.sparkContext.broadcast(Forest(np.array([r["v"] for r in sample])))
     want = max(1, want, int(np.ceil(share * len(sample))))
     blocks = max(1, -(-asked.count() * 2 // BLOCK))
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks))
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaf = forest.value.leaf
+        for b in batches:
+            out = []
+            for q in b["v"]:
+                bits = np.zeros(leaf[-1] + 1, bool)
+                bits[leaf[forest.value.probe(np.asarray(q), want)]] = True
+                out.append(np.packbits(bits).tobytes())
+            yield b.assign(leaves=out)
+
     parts = []
     for i in range(blocks):
-        got = asked.where(block == i).orderBy("id").collect()
+        found = asked.where(block == i).repartition(16).mapInPandas(look_up, "id long, v array<double>, leaves binary")
+        got = sorted(found.collect(), key=lambda r: r["id"])
         if not got:
             continue
         qid, qv = np.array([r["id"] for r in got]), np.array([r["v"] for r in got])
-        asks = np.zeros((forest.value.leaf[-1] + 1, len(got)), bool)
-        for n, q in enumerate(qv):
-            asks[forest.value.leaf[forest.value.probe(q, want)], n] = True
+        asks = np.unpackbits(np.array([np.frombuffer(r["leaves"], np.uint8) for r in got]), axis=1, count=forest.value.leaf[-1] + 1).T
         sent = spark.sparkContext.broadcast((qid, qv, np.packbits(asks, axis=1)))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -167,7 +185,10 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int
                     bound[full] = np.fmin(bound[full], bd[np.searchsorted(bq, full, "right") - 1] ** 2 * (1 + 1e-9))
             yield pd.DataFrame({"query_id": qid[bq], "vec_id": bi, "score": bd})
 
-        parts.append(rows.mapInPandas(run, "query_id long, vec_id long, score double"))
+        parts.append(cut(rows.mapInPandas(run, "query_id long, vec_id long, score double")))
+        sent.destroy()
+    forest.destroy()
+    drop(rows)
     if not parts:
         return spark.createDataFrame([], schema)
     found = parts[0]

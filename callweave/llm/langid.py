@@ -28,11 +28,16 @@ from .common import refuse, table
 DIM, GRAM = 1024, 3
 
 
-@functools.cache
-def _gap() -> re.Pattern:
-    r"""Runs of what is no letter: \W, digits, the underscore, and numbers such as fractions, which \w holds as well."""
-    odd = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{odd}]+")
+_GAP = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str | None) -> str:
+    """Runs of letters, parted by single blanks, in lower case."""
+    flat = _GAP.sub(" ", text or "")
+    odd = [c for c in set(flat) if c != " " and not c.isalpha()]  # fractions, Roman numbers and the like, which \w holds as well
+    if odd:
+        flat = re.sub(f"[ {''.join(odd)}]+", " ", flat)
+    return flat.strip().lower()
 
 
 @functools.lru_cache(maxsize=70_000)
@@ -70,7 +75,7 @@ _GRAMS = _Grams()
 
 def profile(text: str | None) -> np.ndarray | None:
     """Unit vector of a whole text, or None without a letter."""
-    flat = _gap().sub(" ", text or "").strip().lower()
+    flat = letters(text)
     if not flat:
         return None
     codes = np.frombuffer(f" {flat} ".encode("utf-32-le"), np.uint32).astype(np.int64)

@@ -98,13 +98,34 @@ def test_secrets_base(spark):
 
 
 def test_pii(spark, docs, empty):
-    text = "Ask a.b@c.org or A.B@c.org, +1 (743) 555-3824 and 743-555-3824; d@c.org"
-    out = pii.replace(spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")).orderBy("doc_id").collect()
-    mails = re.findall(r"\S+@example\.net", out[0]["text"])
-    phones = [re.sub(r"\D", "", x)[-10:] for x in re.findall(r"(?:\+1 )?\(?\d{3}\)?[ -]\d{3}-\d{4}", out[0]["text"])]
-    assert out[0]["n_entities"] == 5 and mails[0] == mails[1] and mails[2] != mails[0] and phones[0] == phones[1] != "7435553824"
-    assert (out[1]["n_entities"], out[1]["text"]) == (0, "plain")
-    assert pii.replace(empty).count() == 0 and pii.replace(docs).count() == len(TEXTS)
+    text = "Ask a.b@c.org or A.B@c.org, +1 (743) 555-3824 and 743-555-3824; d@c.org, card 4111 1111 1111 1111"
+    people = "Mr Smith and Mr. Smith met Mr John Smith, Mrs Smith, Dr. Jane Smith and Господин Петров."
+    rows = spark.createDataFrame([(1, text), (2, "plain"), (3, people), (None, text), (3, people)], "doc_id long, text string")
+    out = pii.replace(rows.withColumn("_names", rows.text).withColumn("_i", rows.doc_id), "k").orderBy("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in out}
+    one = got[1]["text"]
+    assert len(out) == 5 and got[None]["text"] == one and (got[2]["n_entities"], got[2]["text"]) == (0, "plain")
+    mails = re.findall(r"\S+@\w+\.example\.net", one)
+    phones = [re.sub(r"\D", "", x)[-10:] for x in re.findall(r"(?:\+1 )?\(?\d{3}\)?[ -]\d{3}-\d{4}", one)]
+    assert got[1]["n_entities"] == 6 and mails[0] == mails[1] != mails[2] and len({m.split("@")[1] for m in mails}) == 1
+    assert phones[0] == phones[1] != "7435553824"
+    card = [int(c) for c in re.search(r"card (\d{4} \d{4} \d{4} \d{4})$", one)[1].replace(" ", "")]
+    assert sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(card)) % 10 == 0 and "4111" not in one
+    m = re.fullmatch(r"Mr (\w+) and Mr\. (\w+) met Mr (\w+) (\w+), Mrs (\w+), Dr\. (\w+) (\w+) and Господин (\w+)\.", got[3]["text"]).groups()
+    assert m[0] == m[1] == m[3] == m[4] == m[6] != "Smith" and len(m[0]) == 5 and m[2].endswith("n") and len({m[0], m[2], m[5]}) == 3
+    assert re.fullmatch("[А-Я][а-я]+", m[7]) and m[7] != "Петров"
+    assert pii.replace(empty, "k").count() == 0 and pii.replace(docs, "k").count() == len(TEXTS)
+    other = pii.replace(rows, "other key").where("doc_id = 1").first()["text"]
+    assert other != one
+    start = time.time()
+    assert pii.replace(spark.createDataFrame([(1, "a" * 200_000)], "doc_id long, text string"), "k").first()["n_entities"] == 0 and time.time() - start < 60
+
+
+def test_pii_collisions(spark):
+    """Short names run out of words of their length: still all distinct, and none an original."""
+    names = spark.createDataFrame([("last", f"{a}{b}{c}") for a in "bdklmn" for b in "aeio" for c in "bdkl"], "kind string, canon string")
+    got = {r["canon"]: r["new"].lower() for r in pii.assign(names, "k").collect()}
+    assert len(set(got.values())) == len(got) == 96 and not set(got) & set(got.values())
 
 
 def test_webp():
@@ -271,6 +292,22 @@ def test_neighbours(spark):
     got = ann.search(rows, rows.where("vec_id in (0, 100, 303)"), "vec_id", "v").collect()
     assert len(got) == 30 and [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 303 and r["rank"] == 1] == [(304, 0.0)]
     assert ann.search(rows.where("false"), rows.where("false"), "vec_id", "v").count() == 0
+    twice = rows.union(rows).union(spark.createDataFrame([(None, [1.0] * 8)], rows.schema)).withColumn("id", F.lit("x"))
+    assert sorted(ann.search(twice, twice.where("vec_id in (0, 100, 303)"), "vec_id", "v").collect()) == sorted(got)
+
+
+def test_neighbours_exact(spark):
+    """Where all leaves are looked at, every answer is that of brute force."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.standard_normal((700, 6)), 1)  # with ties
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, v array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(rows, rows.where("vec_id % 100 = 0"), "vec_id", "v").collect()}
+    want = {}
+    for q in range(0, 700, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((np.arange(700), d)) if i != q][:10]
+        want |= {(q, n): (i, d[i]) for n, i in enumerate(order, 1)}
+    assert {k: v[0] for k, v in got.items()} == {k: int(v[0]) for k, v in want.items()} and all(got[k][1] == pytest.approx(want[k][1]) for k in want)
 
 
 def test_neighbours_recall(spark, tmp_path):
