@@ -17,6 +17,10 @@ from pyspark.sql.window import Window
 from ..functions.names import normal_label
 
 
+#: Training rows that kNN takes: what is gathered and sent is bounded by it.
+KNN_ROWS = 200_000
+
+
 def fit_centers(values: DataFrame, k: int = 2000, seed: int = 42) -> list[float]:
     """Ascending centres; k bounds what returns."""
     rows = values.groupBy("value").agg(F.count("*").cast("double").alias("n"))
@@ -128,13 +132,15 @@ def fold_average(rates: DataFrame) -> DataFrame:
 def knn(train: DataFrame, test: DataFrame, features: list[str], k: int = 3, block: int = 2000) -> DataFrame:
     """(sample_id, label, prediction, score) of test rows by their k nearest train rows, each voting by inverse distance.
 
-    A row at distance 0 leaves the vote to those at 0. Ties of distance go to the smaller id, of votes to class 0. Train rows are sent
+    Training rows, ``KNN_ROWS`` at the most, go to the driver. A row at distance 0 leaves the vote to those at 0. Ties of distance go to the smaller id, of votes to class 0. Train rows are sent
     in blocks of bounded size, each test partition keeps its k best, so there is no join.
     """
     spark = train.sparkSession
     fine = lambda df: df.where("label in (0, 1)").select("sample_id", F.col("label").cast("int").alias("label"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("v"))
     base, asked = fine(train).persist(), fine(test)
     n = base.count()
+    if n > KNN_ROWS:
+        raise ValueError(f"more than {KNN_ROWS} training rows")
     blocks = max(1, -(-n // block))
     schema = "sample_id " + asked.schema["sample_id"].dataType.simpleString() + ", label int, v array<double>, best array<struct<d:double,id:string,y:int>>"
     found = asked.withColumn("best", F.array().cast("array<struct<d:double,id:string,y:int>>"))

@@ -102,6 +102,27 @@ def test_metrics(spark):
     assert none["tpr"] is None and none["recall"] == 0
 
 
+def test_knn(spark):
+    """Against a vote counted by hand, with a row at distance 0 and a tie of distances."""
+    train = spark.createDataFrame([(1, 0, 0.0), (2, 1, 2.0), (3, 1, 4.0), (4, 0, 100.0), (5, None, 3.0)], "sample_id long, label int, x double")
+    test = spark.createDataFrame([(10, 1, 3.0), (11, 0, 0.0), (12, 1, 60.0)], "sample_id long, label int, x double")
+    for block in (1, 2, 2000):
+        got = {r["sample_id"]: (r["prediction"], round(r["score"], 6)) for r in learning.knn(train, test, ["x"], 3, block).collect()}
+        # 10: distances 1, 1 (class 1) and 3 (class 0); 12: 40 (0), 56 (1), 58 (1).
+        assert got == {10: (1, round(2 / (2 + 1 / 3), 6)), 11: (0, 0.0), 12: (1, round((1 / 56 + 1 / 58) / (1 / 40 + 1 / 56 + 1 / 58), 6))}
+
+
+def test_folds_and_average(spark):
+    samples = spark.createDataFrame([(i, i % 3 if i % 3 < 2 else None) for i in range(300)], "sample_id long, label int")
+    got = learning.folds(samples, 10).groupBy("label", "fold").count().collect()
+    assert len(got) == 20 and {r["count"] for r in got} == {10}
+    rates = spark.createDataFrame([(0, 0.5, None), (1, float("nan"), None), (2, 1.0, None)], "fold int, acc double, f1 double")
+    assert tuple(learning.fold_average(rates).first()) == (0.75, None)
+    rows = samples.withColumn("x", F.coalesce("label", F.lit(0)).cast("double"))
+    each, mean = learning.cross_validate(rows.where("label is not null"), lambda a, b: learning.evaluate(a, b, "knn"), k=2)
+    assert {r["acc"] for r in each.collect()} == {1.0} and mean.first()["acc"] == 1.0
+
+
 def test_join(spark):
     p = spark.createDataFrame([("s1", 1, 1), ("s2", -1, 2)], "sample_id string, label int, f int")
     q = spark.createDataFrame([("s1", 0, 5), ("s3", 1, 7)], "sample_id string, label int, g int")
