@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import struct
 import zlib
 from bisect import bisect_left
@@ -69,32 +68,50 @@ class Bits:
         return int.from_bytes(self.data[a >> 3 : (a + n + 7) >> 3], "little") >> (a & 7) & ((1 << n) - 1)
 
 
-def _canonical(lengths: Iterator[int]) -> Iterator[int]:
-    """Codes, first bit lowest, of ascending lengths."""
-    code = last = 0
-    for n in lengths:
-        code <<= n - last
-        last = n
-        yield int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
+@functools.cache
+def _mirror(width: int) -> np.ndarray:
+    """The numbers of ``width`` bits, each with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(width):
+        out = np.concatenate([out << 1, out << 1 | 1])
+    return out
+
+
+def _in_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, lengths, share of all codes of the longest length) of a prefix code's used symbols, shortest first."""
+    symbols = np.flatnonzero(lengths)
+    symbols = symbols[np.argsort(lengths[symbols], kind="stable")]
+    sizes = lengths[symbols]
+    return symbols, sizes, 1 << sizes[-1] - sizes
 
 
 class Code:
-    """Prefix code as a table over the longest code's bits."""
+    """Prefix code as a table over the longest code's bits: symbols and the bits of their codes."""
 
     def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        if not used:
+        most = max(lengths)
+        if not most:
             raise ValueError("empty prefix code")
-        if len(used) == 1:
-            self.width, self.table = 0, [(used[0][1], 0)]
+        if lengths.count(0) == len(lengths) - 1:
+            self.__dict__ = Code.of(lengths.index(most)).__dict__
             return
-        self.width = max(n for n, _ in used)
-        if sum(1 << self.width - n for n, _ in used) != 1 << self.width:
+        symbols, sizes, share = _in_order(np.array(lengths))
+        self.width = most
+        if share.sum() != 1 << most:
             raise ValueError("prefix code is not complete")
-        self.table = [None] * (1 << self.width)
-        for (n, s), code in zip(sorted(used), _canonical(n for n, _ in sorted(used)), strict=True):
-            self.table[code :: 1 << n] = [(s, n)] * (1 << self.width - n)
+        at = _mirror(most)
+        self.symbols, self.sizes = symbols.repeat(share)[at], sizes.repeat(share)[at]
+
+    @classmethod
+    def of(cls, symbol: int) -> Code:
+        """The code of a single symbol, which takes no bits."""
+        out = cls.__new__(cls)
+        out.width, out.symbols, out.sizes = 0, np.array([symbol]), np.zeros(1, np.int64)
+        return out
+
+    @functools.cached_property
+    def table(self) -> list[tuple[int, int]]:
+        return list(zip(self.symbols.tolist(), self.sizes.tolist(), strict=True))
 
     def read(self, bits: Bits) -> int:
         s, n = self.table[bits.peek(self.width)]
@@ -108,10 +125,13 @@ def _read_code(bits: Bits, size: int) -> Code:
         two, wide = bits.take(1), bits.take(1)
         for s in [bits.take(8 if wide else 1)] + ([bits.take(8)] if two else []):
             lengths[s] = 1
-        return Code(lengths)
+        return Code(lengths) if two else Code.of(s)
     first = [0] * 19
-    for i in range(4 + bits.take(4)):
-        first[LENGTH_ORDER[i]] = bits.take(3)
+    n = 4 + bits.take(4)
+    threes = bits.span(bits.at, 3 * n)
+    bits.at += 3 * n
+    for i, s in enumerate(LENGTH_ORDER[:n]):
+        first[s] = threes >> 3 * i & 7
     code = Code(first)
     left = size
     if bits.take(1):
@@ -227,84 +247,79 @@ def _pixels(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
 
 def _one_channel(bits: Bits, codes: list[Code], w: int, n: int) -> np.ndarray:
     """Pixels that differ in green only: what a code at any bit of the stream would mean is looked up for all bits at once, in
-    stretches, and literals are picked along the chain of code ends."""
+    stretches, and literals and references are picked along the chain of their ends."""
     green, far, data = codes[0], codes[4], bits.data
-    lengths, distances, far_mask = green.table, far.table, (1 << far.width) - 1
-    table = np.array(green.table, np.int32)
-    symbol, size = table[:, 0], table[:, 1]
-    lengths, distances, far_mask = green.table, far.table, (1 << far.width) - 1
-    out, at, mask, reach = bytearray(), bits.at, (1 << green.width) - 1, 1 << 16
+    out, at, reach, end = bytearray(), bits.at, 1 << 15, 8 * len(data)
     while len(out) < n:
         base = at >> 3 << 3  # a stretch of the stream, from a whole byte
-        part = np.frombuffer(data[base >> 3 : (base + reach >> 3) + 4] + b"\0\0\0\0", np.uint8).astype(np.uint32)
-        if len(part) < 5 or at > 8 * len(data):
+        raw = data[base >> 3 : (base + reach >> 3) + 16]
+        if at >= end:
             raise ValueError("stream ends early")
-        window = part[:-3] | part[1:-2] << 8 | part[2:-1] << 16
-        window = (window[:, None] >> np.arange(8, dtype=np.uint32) & mask).ravel()
-        means = symbol[window]
-        ends = np.arange(len(window)) + size[window]
-        ends[means > 255] = 0  # back-references leave the chain
-        steps, p, limit = ends.tolist(), at - base, min(len(window), reach)  # a stretch's last code may end beyond it
-        places, copies, copied, room = [], [], 0, n - len(out)
-        keep = places.append
-        while p < limit and len(places) + copied < room:
-            while p < limit and (q := steps[p]):
-                keep(p)
-                p = q
-            if p >= limit or len(places) + copied >= room:
+        limit = min(8 * len(raw), reach)  # a stretch's last code may end beyond it
+        wide = np.ndarray((len(raw) + 8,), "<u8", raw + bytes(16), strides=(1,))
+        window = np.empty((limit >> 3, 8), np.intp)
+        for i in range(8):
+            np.right_shift(wide[: limit >> 3], np.uint64(i), out=window[:, i], casting="unsafe")
+        window &= (1 << green.width) - 1
+        means = green.symbols.take(window.ravel())
+        one = np.arange(limit + 16)  # ends of what starts at a bit; beyond the stretch they stay
+        one[:limit] += green.sizes.take(window.ravel())
+        refs = np.flatnonzero(means > 255)
+        s, q = means[refs] - 256, one[refs]
+        length, q = _unprefix(wide, s, q)
+        d = (wide[q >> 3] >> (q & 7).astype(np.uint64)).astype(np.int64) & (1 << far.width) - 1
+        d, q = _unprefix(wide, far.symbols[d], q + far.sizes[d])
+        one[refs] = np.minimum(q, limit + 15)  # the true ends are ``q``
+        two = one.take(one)
+        four = two.take(two)
+        leaps, anchors, p = memoryview(four.take(four)), [], at - base
+        while p < limit:
+            anchors.append(p)
+            p = leaps[p]
+        run = np.empty((len(anchors), 8), np.intp)
+        run[:, 0] = anchors
+        run[:, 4] = four.take(run[:, 0])
+        run[:, 2::4] = two.take(run[:, ::4])
+        run[:, 1::2] = one.take(run[:, ::2])
+        run = run[run < limit]
+        symbol = means.take(run)
+        copies = np.flatnonzero(symbol > 255)
+        which = np.searchsorted(refs, run[copies])
+        literal, room, done, copied = np.delete(symbol, copies).astype(np.uint8).tobytes(), n - len(out), 0, 0
+        ends = one.take(run)
+        ends[copies] = q[which]
+        for i, (k, more, back) in enumerate(zip(copies.tolist(), length[which].tolist(), d[which].tolist(), strict=True)):
+            if k - i + copied >= room:  # the image ended before
                 break
-            q = base + p  # 50 bits hold the longest reference
-            acc = int.from_bytes(data[q >> 3 : (q >> 3) + 8], "little") >> (q & 7)
-            s, k = lengths[acc & mask]
-            acc >>= k
-            p += k
-            if s < 260:
-                length = s - 255
+            out += literal[done : k - i]
+            done, copied = k - i, copied + more
+            if back > 120:
+                back -= 120
             else:
-                k = (s - 258) >> 1
-                length = ((2 + (s & 1)) << k) + (acc & ((1 << k) - 1)) + 1
-                acc >>= k
-                p += k
-            s, k = distances[acc & far_mask]
-            acc >>= k
-            p += k
-            if s < 4:
-                d = s + 1
-            else:
-                k = (s - 2) >> 1
-                d = ((2 + (s & 1)) << k) + (acc & ((1 << k) - 1)) + 1
-                p += k
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * w)
-            copies.append((len(places), length, d))
-            copied += length
-        if len(places) + copied > room:  # the image ends inside the chain
-            if copied > room:
-                raise ValueError("back-reference leaves the image")
-            first = room - copied
-            if copies and copies[-1][0] > first:
-                raise ValueError("back-reference leaves the image")
-            p = places[first]
-            del places[first:]
-        literal, done = means[places].astype(np.uint8).tobytes(), 0
-        for upto, length, d in copies:
-            out += literal[done:upto]
-            done = upto
-            if d > len(out):
+                x, y = NEAR[back - 1]
+                back = max(1, x + y * w)
+            if back > len(out) or done + copied > room:
                 raise ValueError("back-reference leaves the image")
-            out += out[-d : len(out) - d + length] if d >= length else (out[-d:] * (length // d + 1))[:length]
-        out += literal[done:]
-        at = base + p
+            out += out[-back : len(out) - back + more] if back >= more else (out[-back:] * (more // back + 1))[:more]
+        else:
+            i = len(copies)
+        taken = min(room - copied, len(literal)) + i  # literals and references of the image
+        out += literal[done : room - copied]
+        at = base + int(ends[taken - 1])
     bits.at = at
-    if at > 8 * len(data):
+    if at > end:
         raise ValueError("stream ends early")
     plain = codes[3].table[0][0] << 24 | codes[1].table[0][0] << 16 | codes[2].table[0][0]
     return np.uint32(plain) | np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << np.uint32(8)
 
 
+def _unprefix(wide: np.ndarray, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances whose prefix symbols are ``s`` and whose extra bits start at ``at``, and where these end."""
+    k = np.maximum(s - 2, 0) >> 1
+    extra = (wide[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & (1 << k) - 1
+    return np.where(s < 4, s, (2 + (s & 1) << k) + extra) + 1, at + k
+
+
 def _bytes(v: int) -> tuple[int, int, int, int]:
     return v >> 24, v >> 16 & 255, v >> 8 & 255, v & 255
 
@@ -409,8 +424,7 @@ def _decode_one(data: bytes) -> np.ndarray:
             row = px.reshape(h, -1)[:, x >> arg] >> 8 & 255
             index = (row >> (x & ((1 << arg) - 1)) * (8 >> arg) & ((1 << (8 >> arg)) - 1)).ravel()
             px = np.append(image, np.zeros(256, np.uint32))[index]
-    r, g, b, a = px >> 16 & 255, px >> 8 & 255, px & 255, px >> 24
-    return np.stack([r, g, b, a], 1).astype(np.uint8).reshape(h, w, 4)
+    return px.astype("<u4").view(np.uint8).reshape(h, w, 4)[..., [2, 1, 0, 3]]
 
 
 def decode(data: bytes) -> list[np.ndarray]:
@@ -441,37 +455,48 @@ def _lengths(counts: list[int], most: int) -> list[int]:
             out[s] = 1
         return out
     while True:
-        heap, parent, new = sorted(used), {}, len(counts)
-        while len(heap) > 1:
-            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x] = parent[y] = new
-            heapq.heappush(heap, (a + b, new))
-            new += 1
-        depth = {new - 1: 0}
-        for x in range(new - 2, len(counts) - 1, -1):
+        used.sort()
+        n = len(used)
+        weight, parent, leaf, inner = [c for c, _ in used], [0] * (2 * n - 1), 0, n
+        for new in range(n, 2 * n - 1):  # the two lightest of the sorted leaves and of the nodes made so far, which ascend
+            both = 0
+            for _ in range(2):
+                if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
+                    at, leaf = leaf, leaf + 1
+                else:
+                    at, inner = inner, inner + 1
+                both += weight[at]
+                parent[at] = new
+            weight.append(both)
+        depth = [0] * (2 * n - 1)
+        for x in range(2 * n - 3, -1, -1):
             depth[x] = depth[parent[x]] + 1
-        for _, s in used:
-            out[s] = depth[parent[s]] + 1
-        if max(out) <= most:
+        if max(depth) <= most:
+            for (_, symbol), d in zip(used, depth, strict=False):
+                out[symbol] = d
             return out
-        used = [((c + 1) // 2 if c > 1 else 1, s) for c, s in used]
+        used = [((c + 1) // 2 if c > 1 else 1, symbol) for c, symbol in used]
 
 
 def _codes(lengths: list[int]) -> np.ndarray:
     """Code of each symbol, first bit lowest; a single symbol takes no bits."""
     out = np.zeros(len(lengths), np.int64)
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if len(used) > 1:
-        for (_, s), code in zip(used, _canonical(n for n, _ in used), strict=True):
-            out[s] = code
+    symbols, sizes, share = _in_order(np.array(lengths))
+    if len(symbols) > 1:
+        out[symbols] = _mirror(int(sizes[-1]))[np.cumsum(share) - share]
     return out
 
 
+def _few_fields(used: list[int]) -> Fields:
+    """The simple form of a code of one or two symbols."""
+    wide = used[0] > 1
+    return [(1, 1), (len(used) - 1, 1), (int(wide), 1), (used[0], 8 if wide else 1), *[(s, 8) for s in used[1:]]]
+
+
 def _code_fields(lengths: list[int]) -> Fields:
     used = [s for s, n in enumerate(lengths) if n] or [0]
     if len(used) <= 2 and used[-1] < 256:
-        wide = used[0] > 1
-        return [(1, 1), (len(used) - 1, 1), (int(wide), 1), (used[0], 8 if wide else 1), *[(s, 8) for s in used[1:]]]
+        return _few_fields(used)
     runs, before = [], 8
     for n, same in groupby(lengths):
         run = len(list(same))
@@ -490,8 +515,11 @@ def _code_fields(lengths: list[int]) -> Fields:
     code, single = _codes(first), sum(map(bool, first)) == 1
     n = max(4, 1 + max(i for i, s in enumerate(LENGTH_ORDER) if first[s]))
     out = [(0, 1), (n - 4, 4), *[(first[s], 3) for s in LENGTH_ORDER[:n]], (0, 1)]
+    code = code.tolist()
     for s, extra, k in runs:
-        out += [(int(code[s]), 0 if single else first[s]), (extra, k)]
+        out.append((code[s], 0 if single else first[s]))
+        if k:
+            out.append((extra, k))
     return out
 
 
@@ -512,6 +540,10 @@ def _near(w: int) -> dict[int, int]:
     return out
 
 
+#: Bits of a place in an image of ``ROW`` times ``SIDE`` samples, and more; larger images are no texts and find fewer references.
+_PLACE = np.uint64(28)
+
+
 def _matches(px: np.ndarray) -> list[tuple[int, int, int]]:
     """(place, length, distance) of back-references, none of which overlap: at each place the last earlier like run."""
     if int(px.max(initial=0)) < 256:  # exact: a run of ``g`` values in 64 bits
@@ -522,7 +554,9 @@ def _matches(px: np.ndarray) -> list[tuple[int, int, int]]:
         key = v[:m] | v[1:] << np.uint64(32)
     if m < 2:
         return []
-    order = np.argsort(key, kind="stable")
+    # Like runs come together, in their order, when a hash above the place is sorted; unlike ones of one hash are told apart.
+    order = np.sort(key * np.uint64(0x9E3779B97F4A7C15) >> _PLACE << _PLACE | np.arange(m, dtype=np.uint64))
+    order = (order & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
     same = key[order[1:]] == key[order[:-1]]
     last = np.full(m, -1)
     last[order[1:][same]] = order[:-1][same]
@@ -558,8 +592,8 @@ def _image(px: np.ndarray, w: int, main: bool, cache_bits: int = 0, split: int =
     if found:
         near = _near(w)
         code = np.array([near.get(d, d + 120) for d in far.tolist()], np.int64)
-        ls, lx, lk = _prefix(size)
-        ds, dx, dk = _prefix(code)
+        symbols, extra, more = _prefix(np.concatenate([size, code]))
+        (ls, ds), (lx, dx), (lk, dk) = (np.split(x, [len(size)]) for x in (symbols, extra, more))
         first[copy] = 256 + ls
     cached = np.zeros(len(place), bool)
     if cache_bits:
@@ -590,12 +624,13 @@ def _image(px: np.ndarray, w: int, main: bool, cache_bits: int = 0, split: int =
         value, bits = np.zeros(len(place) + 3 * len(start), np.int64), np.zeros(len(place) + 3 * len(start), np.int64)
         rows = at[copy]
         value[rows + 1], bits[rows + 1], value[rows + 3], bits[rows + 3] = lx, lk, dx, dk
-        rest = [np.array([px[0] >> k & 255]) for k in (16, 0, 24)]
-        for i, (where, symbols) in enumerate(((at, first), (None, rest[0]), (None, rest[1]), (None, rest[2]), (rows + 2, ds))):
+        for i, (where, symbols) in ((0, (at, first)), (4, (rows + 2, ds))):
             lengths = _lengths(np.bincount(symbols, minlength=ALPHABETS[i]).tolist(), 11)
             out.append(_code_fields(lengths))
-            if where is not None and sum(map(bool, lengths)) > 1:
+            if sum(map(bool, lengths)) > 1:
                 value[where], bits[where] = _codes(lengths)[symbols], np.array(lengths)[symbols]
+            if not i:  # the other channels' only symbols
+                out += [_few_fields([int(px[0]) >> k & 255]) for k in (16, 0, 24)]
         out.append((value, bits))
         return out
     value, bits = np.zeros((len(place), 4), np.int64), np.zeros((len(place), 4), np.int64)
@@ -619,15 +654,17 @@ def _image(px: np.ndarray, w: int, main: bool, cache_bits: int = 0, split: int =
 
 
 def _pack(parts: list) -> bytes:
-    parts = [np.array(p, np.int64).reshape(-1, 2).T if isinstance(p, list) else p for p in parts]
+    whole: list = []
+    for listed, run in groupby(parts, lambda p: isinstance(p, list)):
+        whole += [np.array([f for p in run for f in p], np.int64).reshape(-1, 2).T] if listed else run
+    parts = whole
     values, bits = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    values, bits = values[bits > 0], bits[bits > 0]
-    out = []
-    for lo in range(0, len(values), 1 << 16):
-        v, n = values[lo : lo + (1 << 16)], bits[lo : lo + (1 << 16)]
-        place = np.arange(n.max(), dtype=np.uint32)
-        out.append((v.astype(np.uint32)[:, None] >> place & 1).astype(np.uint8)[place < n[:, None]])
-    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+    end = np.cumsum(bits)
+    at = end - bits
+    # Fields have 21 bits at the most, so those that start in one word of 32 bits add up exactly below 2 ** 53.
+    words = np.bincount(at >> 5, (values << (at & 31)).astype(float), int(end[-1] >> 5) + 2).astype(np.int64)
+    words[1:] |= words[:-1] >> 32  # what the word before hands over; its own upper half is not looked at again
+    return words.astype("<u4").tobytes()[: int(end[-1] + 7) >> 3]
 
 
 def _take(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -658,8 +695,7 @@ def encode(rgba: np.ndarray, palette: bool = True, predict: int = 0, cross: tupl
     of a block of two groups of codes.
     """
     h, w, _ = rgba.shape
-    r, g, b, a = rgba.astype(np.uint32).reshape(-1, 4).T
-    px = a << 24 | r << 16 | g << 8 | b
+    px = np.ascontiguousarray(rgba[..., [2, 1, 0, 3]]).view("<u4").ravel().astype(np.uint32)
     parts: list = [[(0x2F, 8), (w - 1, 14), (h - 1, 14), (1, 1), (0, 3)]]
     colours = px[:0]
     if palette:  # one channel alone is counted without sorting
