@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a filter at the most (32 MB), and of one of its rows (a fixed value of the bitmap functions).
 MOST_BITS, ROW_BITS = 1 << 28, 1 << 15
+#: Bytes of a batch of texts on its way to Python and back.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session sending ``BATCH_BYTES`` to Python at once, or what it sends if that is less.
+
+    Buffers double as they fill and are held on both sides, so that batches of 64 MB, Spark's own limit, take several times
+    as much in each task.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(name)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from there; ``drop`` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import refuse, table
+from .common import refuse, small_batches, table
 
 DIM, GRAM = 1024, 3
 
@@ -105,7 +105,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
         for lang, v in sums.items():
             yield pd.DataFrame({"lang": lang, "at": np.arange(DIM), "v": np.round(v * 1e6).astype(np.int64)})
 
-    rows = df.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = small_batches(df).where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sums = rows.mapInPandas(bundle, "lang string, at int, v long").groupBy("lang", "at").agg(F.sum("v").alias("v"))
     found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("vs"))
     out = {}
@@ -134,7 +134,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
                 out.append((names[i], float(min(1.0, max(0.0, cos[i])))))
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    return df.withColumn(out_col, best(F.col(text_col)))
+    return small_batches(df).withColumn(out_col, best(F.col(text_col)))
 
 
 def op8(spark, sf_dir):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, drop, fresh, only, perhaps_in, table
+from .common import cut, drop, fresh, only, perhaps_in, small_batches, table
 
 BINS = 128
 #: Bins of a bucket's key.
@@ -54,7 +54,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -117,7 +117,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                 arrays = [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "fp", "bands"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n long, fp binary, bands array<long>")
 
 
@@ -132,7 +132,7 @@ def shingle_sets(df: DataFrame, width: int) -> DataFrame:
                 sets = [shingles(t.as_py(), width, words).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return df.mapInArrow(run, "id long, shingles array<long>")
+    return small_batches(df).mapInArrow(run, "id long, shingles array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:

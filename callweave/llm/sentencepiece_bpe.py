@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, table
+
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Bytes, by estimate, that a worker keeps of encoded parts; entries of checked neighbours and of prefixes.
-CACHE_BYTES, CACHE_PAIRS, CACHED_PART_CHARS = 240 << 20, 500_000, 40
+CACHE_BYTES, CACHE_PAIRS, CACHED_PART_CHARS = 128 << 20, 500_000, 40
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -367,12 +369,10 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     names = [id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
     kind = df.schema[id_col].dataType.simpleString()
     listed = "ids array<int>, " if with_ids else ""
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {listed}ids_sha256 string, decoded_sha256 string")
+    return small_batches(df).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {listed}ids_sha256 string, decoded_sha256 string")
 
 
 def op1(spark, sf_dir):
     import public_tokenizers
 
-    from .common import table
-
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)

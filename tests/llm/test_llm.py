@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.llm import ann, langid, minhash, mixing, pii, quality_crf, secret_scan, sentencepiece_bpe, warc, webp
+from callweave.llm import ann, common, langid, minhash, mixing, pii, quality_crf, secret_scan, sentencepiece_bpe, warc, webp
 
 TEXTS = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (4, " ".join(f"w{i}" for i in range(3000))), (5, "é " * 50)]
 
@@ -334,3 +334,15 @@ def test_pieces(spark, docs):
     for r in sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, path), path).collect():
         want = other.encode(r["text"] or "") + [2]
         assert list(r["ids"]) == want and r["decoded"] == other.decode(want)
+
+
+def test_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, kept in ((str(64 << 20), str(common.BATCH_BYTES)), ("1024", "1024"), ("1g", str(common.BATCH_BYTES))):
+            spark.conf.set(name, given)
+            common.small_batches(spark.range(1))
+            assert spark.conf.get(name).rstrip("b") == kept
+    finally:
+        spark.conf.set(name, before)
