@@ -116,6 +116,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                     keys.append(bands(s) if len(s) else np.empty(0, np.int64))
                 arrays = [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "fp", "bands"])
+        pa.default_memory_pool().release_unused()
 
     rows = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n long, fp binary, bands array<long>")
@@ -131,6 +132,7 @@ def shingle_sets(df: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(lo, 256)
                 sets = [shingles(t.as_py(), width, words).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+        pa.default_memory_pool().release_unused()
 
     return small_batches(df).mapInArrow(run, "id long, shingles array<long>")
 

@@ -41,7 +41,7 @@ SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Bytes, by estimate, that a worker keeps of encoded parts; entries of checked neighbours and of prefixes.
-CACHE_BYTES, CACHE_PAIRS, CACHED_PART_CHARS = 128 << 20, 500_000, 40
+CACHE_BYTES, CACHE_PAIRS, CACHED_PART_CHARS = 96 << 20, 500_000, 40
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -365,6 +365,7 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 n = pa.array(np.diff(np.array(offsets)), pa.int64())
                 lists = [pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([b.column(0), n, *lists, pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names)
+        pa.default_memory_pool().release_unused()
 
     names = [id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
     kind = df.schema[id_col].dataType.simpleString()
