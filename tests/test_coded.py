@@ -76,3 +76,13 @@ def test_distance_queries(spark, tmp_path, metric):
     edges = spark.createDataFrame(edges, "sample_id long, src string, dst string")
     want = graph.features(edges, adapter.catalog(spark, d), spark.range(len(rows)).withColumnRenamed("id", "sample_id"), metric)
     assert sorted(map(tuple, got.collect())) == sorted((a, b, round(c, 9)) for a, b, c in want.collect())
+
+
+def test_harmonic_of_many_callers():
+    """More than 255 nodes of a sample come at one step; their counters are bytes."""
+    names = ["".join("abcdefghij"[int(c)] for c in str(i)) for i in range(700)]
+    text = "\n".join(f"x{n} hub" for n in names) + "\nhub tail"
+    w = coded.Words(pa.array([text, "hub hub", text]), ["hub", "tail"])
+    close, harm = coded.distances(coded.Graphs(w))
+    assert harm.tolist() == [700, 351, 0, 700, 351]
+    assert close.tolist() == [700 / 700 * 700 / 701, 701 / 1401 * 701 / 701, 0, 700 / 700 * 700 / 701, 701 / 1401 * 701 / 701]
