@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +52,30 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: The operator whose task a worker ran last, and what lets go of all that it kept.
+_last: tuple[str, Callable[[], None]] = ("", lambda: None)
+
+
+@contextlib.contextmanager
+def at_work(owner: str, let_go: Callable[[], None] = lambda: None) -> Iterator[None]:
+    """Around a task of ``owner`` in a worker, which keeps the caches of one operator: those of another go first.
+
+    Workers live through all stages of a session, and would else hold what every operator came to keep. At the end the memory
+    that was freed goes back to the system, as allocators hold it for themselves.
+    """
+    global _last
+    if _last[0] != owner:
+        _last[1]()
+        gc.collect()
+    _last = owner, let_go
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # of other C libraries than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from there; ``drop`` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"

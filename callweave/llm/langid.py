@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import refuse, small_batches, table
+from .common import at_work, refuse, small_batches, table
 
 DIM, GRAM = 1024, 3
 
@@ -73,6 +73,11 @@ class _Grams:
 _GRAMS = _Grams()
 
 
+def _let_go() -> None:
+    _GRAMS.__init__(_GRAMS.most)
+    _letter.cache_clear()
+
+
 def profile(text: str | None) -> np.ndarray | None:
     """Unit vector of a whole text, or None without a letter."""
     flat = letters(text)
@@ -97,11 +102,12 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
-            for text, lang in zip(b["text"], b["lang"], strict=True):
-                v = profile(text)
-                if v is not None:
-                    sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
+        with at_work("langid", _let_go):
+            for b in batches:
+                for text, lang in zip(b["text"], b["lang"], strict=True):
+                    v = profile(text)
+                    if v is not None:
+                        sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
         for lang, v in sums.items():
             yield pd.DataFrame({"lang": lang, "at": np.arange(DIM), "v": np.round(v * 1e6).astype(np.int64)})
 
@@ -121,18 +127,19 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32).reshape(-1, DIM)
 
+    def one(text: str | None) -> tuple[str, float]:
+        v = profile(text)
+        if v is None or not names:
+            return "und", 0.0
+        cos = matrix @ v
+        i = int(cos.argmax())
+        return names[i], float(min(1.0, max(0.0, cos[i])))
+
     @F.pandas_udf("lang string, score double")
-    def best(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            v = profile(t)
-            if v is None or not names:
-                out.append(("und", 0.0))
-            else:
-                cos = matrix @ v
-                i = int(cos.argmax())
-                out.append((names[i], float(min(1.0, max(0.0, cos[i])))))
-        return pd.DataFrame(out, columns=["lang", "score"])
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with at_work("langid", _let_go):
+            for texts in batches:
+                yield pd.DataFrame([one(t) for t in texts], columns=["lang", "score"])
 
     return small_batches(df).withColumn(out_col, best(F.col(text_col)))
 

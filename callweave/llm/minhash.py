@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, drop, fresh, only, perhaps_in, small_batches, table
+from .common import at_work, cut, drop, fresh, only, perhaps_in, small_batches, table
 
 BINS = 128
 #: Bins of a bucket's key.
@@ -106,17 +106,18 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part, n, fps, keys = batch.slice(lo, 1024), [], [], []
-                for t in part.column(1):
-                    s = shingles(t.as_py(), width, words)
-                    n.append(len(s))
-                    fps.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    keys.append(bands(s) if len(s) else np.empty(0, np.int64))
-                arrays = [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "fp", "bands"])
-        pa.default_memory_pool().release_unused()
+        with at_work("minhash"):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part, n, fps, keys = batch.slice(lo, 1024), [], [], []
+                    for t in part.column(1):
+                        s = shingles(t.as_py(), width, words)
+                        n.append(len(s))
+                        fps.append(xxhash.xxh3_128_digest(s.tobytes()))
+                        keys.append(bands(s) if len(s) else np.empty(0, np.int64))
+                    arrays = [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "fp", "bands"])
+            words.clear()
 
     rows = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n long, fp binary, bands array<long>")
@@ -127,12 +128,13 @@ def shingle_sets(df: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                sets = [shingles(t.as_py(), width, words).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-        pa.default_memory_pool().release_unused()
+        with at_work("minhash"):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    sets = [shingles(t.as_py(), width, words).view(np.int64) for t in part.column(1)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            words.clear()
 
     return small_batches(df).mapInArrow(run, "id long, shingles array<long>")
 

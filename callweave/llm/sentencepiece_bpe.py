@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import at_work, small_batches, table
 
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Bytes, by estimate, that a worker keeps of encoded parts; entries of checked neighbours and of prefixes.
-CACHE_BYTES, CACHE_PAIRS, CACHED_PART_CHARS = 96 << 20, 500_000, 40
+CACHE_BYTES, CACHE_PAIRS, CACHED_PART_CHARS = 96 << 20, 200_000, 40
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -311,13 +311,14 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = load(proto, dead)
-        for texts in batches:
-            flat, offsets = array("i"), array("i", [0])
-            for t in texts:
-                model.encode(t.as_py(), flat)
-                offsets.append(len(flat))
-            yield pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))
+        with at_work("sentencepiece", load.cache_clear):
+            model = load(proto, dead)
+            for texts in batches:
+                flat, offsets = array("i"), array("i", [0])
+                for t in texts:
+                    model.encode(t.as_py(), flat)
+                    offsets.append(len(flat))
+                yield pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))
 
     return df.withColumn(ids_col, ids(F.col(text_col)))
 
@@ -330,12 +331,13 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = load(proto, dead)
-        for lists in batches:
-            out = []
-            for x in lists:
-                out.append(model.decode(x.values.to_numpy().tolist()) if x.is_valid else "")
-            yield pa.array(out, pa.string())
+        with at_work("sentencepiece", load.cache_clear):
+            model = load(proto, dead)
+            for lists in batches:
+                out = []
+                for x in lists:
+                    out.append(model.decode(x.values.to_numpy().tolist()) if x.is_valid else "")
+                yield pa.array(out, pa.string())
 
     return df.withColumn(text_col, text(F.col(ids_col)))
 
@@ -349,23 +351,23 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     proto, dead = _shipped(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(proto, dead)
-        decimal = list(map(str, range(len(model.pieces))))
-        for whole in batches:
-            for lo in range(0, whole.num_rows, rows):
-                b = whole.slice(lo, rows)
-                flat, offsets, digests, decoded = array("i"), array("i", [0]), [], []
-                for t in b.column(1):
-                    ids = model.encode(t.as_py()).tolist()
-                    digests.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
-                    if with_ids:
-                        flat.extend(ids)
-                    offsets.append(offsets[-1] + len(ids))
-                n = pa.array(np.diff(np.array(offsets)), pa.int64())
-                lists = [pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))] if with_ids else []
-                yield pa.RecordBatch.from_arrays([b.column(0), n, *lists, pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names)
-        pa.default_memory_pool().release_unused()
+        with at_work("sentencepiece", load.cache_clear):
+            model = load(proto, dead)
+            decimal = list(map(str, range(len(model.pieces))))
+            for whole in batches:
+                for lo in range(0, whole.num_rows, rows):
+                    b = whole.slice(lo, rows)
+                    flat, offsets, digests, decoded = array("i"), array("i", [0]), [], []
+                    for t in b.column(1):
+                        ids = model.encode(t.as_py()).tolist()
+                        digests.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
+                        decoded.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
+                        if with_ids:
+                            flat.extend(ids)
+                        offsets.append(offsets[-1] + len(ids))
+                    n = pa.array(np.diff(np.array(offsets)), pa.int64())
+                    lists = [pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))] if with_ids else []
+                    yield pa.RecordBatch.from_arrays([b.column(0), n, *lists, pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names)
 
     names = [id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
     kind = df.schema[id_col].dataType.simpleString()

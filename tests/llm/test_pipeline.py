@@ -1,11 +1,14 @@
 import hashlib
+import time
 
+import pyarrow as pa
 import pytest
 
 sentencepiece = pytest.importorskip("sentencepiece")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
+from callweave.llm import langid, minhash, sentencepiece_bpe  # noqa: E402
 
 SECRET = "aB3xY9qLm2Zk7Rt5"
 
@@ -55,3 +58,27 @@ def test_odd_rows(spark, tmp_path):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept if r["text"]) == sorted([(1, text), (0, other), (3, other + " again")])
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {1, 3, None}
+
+
+def test_caches_of_one_operator(spark):
+    """A worker keeps the caches of the operator that ran last in it, not those of all stages."""
+
+    def kept(batches):
+        from callweave.llm import langid, sentencepiece_bpe  # the worker's own
+
+        list(batches)
+        time.sleep(0.5)  # so that each worker gets a task
+        yield pa.RecordBatch.from_pydict({"letters": [langid._letter.cache_info().currsize + len(langid._GRAMS.place)], "models": [sentencepiece_bpe.load.cache_info().currsize]})
+
+    def look():
+        return [tuple(r) for r in spark.range(0, 8, 1, 8).mapInArrow(kept, "letters long, models long").collect()]
+
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    sentencepiece_bpe.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert any(models for _, models in look())
+    langid.predict(docs, {"en": langid.profile("some words")}).collect()
+    found = look()
+    assert any(letters for letters, _ in found) and not any(letters and models for letters, models in found)
+    for _ in range(2):
+        minhash.sketches(docs, "doc_id", "text", 4).collect()
+    assert (0, 0) in look()
